@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import op1_sharding, op4_mixing
+from gridloom.llm import op1_sharding, op4_mixing, op6_quality, op7_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
     "op4_mixing": op4_mixing.query,
+    "op6_quality": op6_quality.query,
+    "op7_toxicity": op7_toxicity.query,
 }
 
 ORACLES = {

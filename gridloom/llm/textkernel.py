@@ -52,14 +52,24 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and the index of each document's first word (one more at the end)."""
-    n_docs = len(offsets) - 1
+def separators(chars: bytes) -> np.ndarray:
+    """Table of 256 flags: which bytes end a word."""
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+#: What separates terms: all ASCII but letters and digits.
+NOT_TERM = separators(bytes(i for i in range(128) if not chr(i).isalnum()))
+NEWLINE = separators(b"\n")
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of all words, the index of each document's first word (one more at the end), and the word bytes' mask."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    if lower:
-        data = _LOWER[data]
-    solid = ~_SEP[data]
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64), np.zeros(0, bool)
+    solid = ~sep[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
@@ -71,16 +81,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     after[first[1:] - 1] = False
     starts = np.flatnonzero(solid & ~before)
     ends = np.flatnonzero(solid & ~after) + 1
-    bounds = np.searchsorted(starts, offsets).astype(np.int64)
+    return starts, ends - starts, np.searchsorted(starts, offsets).astype(np.int64), solid
+
+
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = False, sep: np.ndarray = _SEP, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words, and the index of each document's first word (one more at the end).
+
+    For each byte length in `prefixes` an array more: hashes of the words cut to that length (0 where not longer).
+    """
+    if lower:
+        data = _LOWER[data]
+    starts, length, bounds, solid = spans(data, offsets, sep)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    length = ends - starts
+        return np.zeros(0, np.uint64), bounds, *[np.zeros(0, np.uint64) for _ in prefixes]
     power = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
     at = np.flatnonzero(solid)
     first_at = np.cumsum(length) - length
     place = np.arange(len(at)) - np.repeat(first_at, length)
-    sums = np.add.reduceat(_BYTE[data[at]] * power[place], first_at)
-    return mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
+    value = _BYTE[data[at]] * power[place]
+    salt = np.uint64(0xD6E8FEB86659FD93)
+    sums = np.add.reduceat(value, first_at)
+    cut = []
+    for n in prefixes:
+        part = np.add.reduceat(np.where(place < n, value, np.uint64(0)), first_at)
+        cut.append(np.where(length > n, mix(part + np.uint64((n * int(salt) + 1) % 2**64)), np.uint64(0)))
+    return mix(sums + length.astype(np.uint64) * salt), bounds, *cut
 
 
 _COEF = np.random.default_rng(77).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
