@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import op1_sharding, op4_mixing, op6_quality, op7_toxicity
+from gridloom.llm import op1_sharding, op3_tokens, op4_mixing, op6_quality, op7_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
+    "op3_tokens": op3_tokens.query,
     "op4_mixing": op4_mixing.query,
     "op6_quality": op6_quality.query,
     "op7_toxicity": op7_toxicity.query,
