@@ -36,7 +36,7 @@ def _kmers(w: Column) -> Column:
         at = lambda i: F.struct(F.xxhash64(*[F.get(x, i + j) for j in range(WORDS)]).alias("h"), i.alias("p"))
         return F.transform(F.sequence(F.lit(0), F.size(x) - WORDS), at)
 
-    return F.when(F.size(w) == 0, empty).when(F.size(w) < WORDS, whole).otherwise(let(F.transform(w, F.xxhash64), lambda x: F.sort_array(runs(x))))
+    return F.when(F.size(w) == 0, empty).when(F.size(w) < WORDS, whole).otherwise(let(F.transform(w, lambda v: F.xxhash64(v)), lambda x: F.sort_array(runs(x))))
 
 
 def _starts(a: Column, key) -> Column:

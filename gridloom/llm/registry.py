@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import op1_sharding, op3_tokens, op4_mixing, op6_quality, op7_toxicity
+from gridloom.llm import op1_sharding, op3_tokens, op4_mixing, op6_quality, op7_toxicity, op8_fingerprints, op10_decontam
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_mixing": op4_mixing.query,
     "op6_quality": op6_quality.query,
     "op7_toxicity": op7_toxicity.query,
+    "op8_fingerprints": op8_fingerprints.query,
+    "op10_decontam": op10_decontam.query,
 }
 
 ORACLES = {
