@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing. DataFrame functions only.
 
 A seed hashes the words at the ones of a fixed mask, so words at its zeros may differ. Seeds of the benchmark's items
-join those of every place of every document; around each hit document and item are compared word by word along the
-hit's diagonal, and the hit stands if some window of 13 words (the whole item where shorter) agrees in at least 10.
+join those of every place of every document; for each diagonal with a hit document and item are compared word by word,
+and the hit stands if some window of 13 words (the whole item where shorter) agrees in at least 10.
 
 Words: the lower-cased text, cut at white space and ASCII punctuation. The benchmark's seeds are broadcast in
-blocks of bounded size, so documents are never shuffled and a passage that a third of all documents share costs no more
-than its hits, which are verified where they are found; only verified hits are grouped.
+blocks of bounded size, so the search shuffles no document; a passage that a third of all documents share costs no more
+than its hits, which are counted by diagonal in their task before they are shuffled. Texts are read again for documents
+with hits only.
 
 Null or empty texts: no words, no hits. Items under 8 words are too short to tell a leak and match nothing. Repeated
 rows share a doc_id and are reported once. Null doc_id or item_id: reported as null. Very long texts: whole, place by
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import BROADCAST_KEYS, let, materialize
 
-#: Masks built of pairs of ones, given by the pairs' offsets: 11011011, 11110011 and 1100001111.
-MASKS = ((0, 3, 6), (0, 2, 6), (0, 6, 8))
+#: Masks of two runs of three ones, given by the second run's place: 1110111, 11100111 and 111000111.
+MASKS = (4, 5, 6)
 #: Words of the window that is verified, and how many of them must agree.
 WINDOW, AGREE = 13, 10
 LEAST_ITEM_WORDS = 8
@@ -36,20 +37,21 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _GAP), ""), lambda w: F.xxhash64(w))
 
 
-def _span(mask: tuple[int, ...]) -> int:
-    return mask[-1] + 2
+def _span(mask: int) -> int:
+    return mask + 3
+
+
+def _with_later(x: Column, y: Column, gap: int) -> Column:
+    """Hash of each element of x with the element of y `gap` places on, as far as there is one."""
+    n = F.greatest(F.size(y) - gap, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(gap + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
 def seeds(w: Column) -> Column:
     """Seeds of all masks, one mask after another, at all their places; see `place_of`."""
     none = F.array().cast("array<bigint>")
-
-    def of_mask(pairs: Column, mask: tuple[int, ...]) -> Column:
-        at = lambda i: F.xxhash64(*[F.get(pairs, i + j) for j in mask])
-        return F.when(F.size(pairs) <= mask[-1], none).otherwise(F.transform(F.sequence(F.lit(0), F.size(pairs) - 1 - mask[-1]), at))
-
-    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
-    return F.when(F.size(w) < min(map(_span, MASKS)), none).otherwise(let(pairs, lambda p: F.concat(*[of_mask(p, m) for m in MASKS])))
+    runs = let(_with_later(w, w, 1), lambda pairs: _with_later(pairs, w, 2))
+    return F.when(F.size(w) < min(map(_span, MASKS)), none).otherwise(let(runs, lambda r: F.concat(*[_with_later(r, r, m) for m in MASKS])))
 
 
 def place_of(index: Column, n_words: Column) -> Column:
@@ -78,19 +80,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= LEAST_ITEM_WORDS)
     n_seeds = items.agg(F.sum(F.size("item"))).first()[0] or 0
     blocks = max(1, -(-n_seeds * len(MASKS) // BLOCK_SEEDS))
-    places = docs.select("doc_id", word_hashes(F.col("text")).alias("doc")).select("doc_id", "doc", F.posexplode(seeds(F.col("doc"))).alias("at", "seed"))
+    places = docs.select("doc_id", word_hashes(F.col("text")).alias("doc")).select("doc_id", F.size("doc").alias("n"), seeds(F.col("doc")).alias("seeds"))
+    # The outer form: for the inner one the planner adds a filter on the size, which computes all seeds once more.
+    places = places.select("doc_id", "n", F.posexplode_outer("seeds").alias("at", "seed"))
     found = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        probe = block.select("item_id", "item", F.posexplode(seeds(F.col("item"))).alias("item_at", "seed"))
+        probe = block.select("item_id", F.size("item").alias("m"), F.posexplode(seeds(F.col("item"))).alias("item_at", "seed"))
         hits = places.join(F.broadcast(probe), "seed")
-        hits = hits.withColumn("shift", place_of(F.col("at"), F.size("doc")) - place_of(F.col("item_at"), F.size("item")))
-        hits = hits.withColumn("agree", agreement(F.col("item"), F.col("doc"), F.col("shift")))
-        found.append(hits.where(F.col("agree") >= F.least(F.lit(AGREE), F.ceil(F.size("item") * AGREE / WINDOW))).select("doc_id", "item_id", "agree", "shift"))
-    out = found[0]
+        found.append(hits.select("doc_id", "item_id", (place_of(F.col("at"), F.col("n")) - place_of(F.col("item_at"), F.col("m"))).alias("shift")))
+    hits = found[0]
     for x in found[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"), F.min("shift").alias("place"), F.count(F.lit(1)).alias("n_hits"))
+        hits = hits.unionByName(x)
+    hits = materialize(hits.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_hits")), "seed-hits")
+    few = hits.count() <= BROADCAST_KEYS
+    named = hits.withColumnsRenamed({"doc_id": "h_doc", "item_id": "h_item"})
+    texts = docs.select("doc_id", "text").join(F.broadcast(named) if few else named, F.col("doc_id").eqNullSafe(F.col("h_doc")))
+    met = texts.join(F.broadcast(items) if blocks == 1 else items, F.col("h_item").eqNullSafe(F.col("item_id")))
+    agree = let(word_hashes(F.col("text")), lambda doc: agreement(F.col("item"), doc, F.col("shift")))
+    met = met.select("doc_id", "item_id", "shift", "n_hits", F.size("item").alias("m"), agree.alias("agree"))
+    met = met.where(F.col("agree") >= F.least(F.lit(AGREE), F.ceil(F.col("m") * AGREE / WINDOW)))
+    return met.groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"), F.min("shift").alias("place"), F.sum("n_hits").alias("n_hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
