@@ -14,8 +14,12 @@ Very long texts: encoded whole, a segment of their own. Extra columns are ignore
 
 from __future__ import annotations
 
+import os
+import struct
+import unicodedata
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +34,8 @@ from gridloom.llm.eliasfano import EliasFano
 END_ID = 1
 #: Ids in a segment before it is closed.
 SEGMENT_IDS = 1 << 20
-#: Words that a task remembers; beyond it the memory is emptied.
-MEMO_WORDS = 300_000
+#: Words that a worker remembers (about 200 bytes each); beyond it those not met of late are forgotten.
+MEMO_WORDS = 400_000
 
 SCHEMA = (
     "first_doc long, seq int, n_docs int, n_ids long, width int, doc_ids binary, ids binary, "
@@ -45,49 +49,90 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters: printable Latin-1 stands for itself, other bytes for letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordEncoder:
-    """Encodes texts word by word and remembers words.
+    """Encodes texts word by word with the tokenizer and remembers words.
 
-    The tokenizer drops white space and never joins pieces across it, so a text's ids are those of its words in order;
-    lower-casing ASCII and cutting one final comma or full stop off a word that ends in an ASCII letter or digit give the
-    same ids too, and far fewer different words.
+    The tokenizer drops white space and never joins pieces across it, so a text's ids are those of its words in order.
+    A word of Latin letters alone is one piece: after normalization it goes straight to the tokenizer's model. A final
+    comma or full stop after an ASCII letter or digit is a piece of its own.
     """
 
     def __init__(self, path: str, width: int = 2):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.type = f"<u{width}"
+        self.pack = {2: "H", 4: "I"}[width]
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.lately: deque[set[bytes]] = deque(maxlen=8)
 
     def _add(self, words: set[bytes]) -> None:
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        known, stems, tokenize, other = self.known, self.stems, self.model.tokenize, []
         for w in words:
-            key = w.lower() if w.isascii() else w
+            s = w.decode("utf-8", "replace")
             tail = b""
-            if len(key) > 1 and key[-1:] in b".," and key[-2:-1].isalnum():
-                key, tail = key[:-1], key[-1:]
-            stems[w] = (key, tail)
-        new = {k for pair in stems.values() for k in pair if k and k not in self.known}
-        order = list(new)
-        for k, e in zip(order, self.tokenizer.encode_batch([k.decode("utf-8", "replace") for k in order], add_special_tokens=False), strict=True):
-            self.known[k] = np.asarray(e.ids, self.type).tobytes()
-        for w, (key, tail) in stems.items():
-            self.known[w] = self.known[key] + (self.known[tail] if tail else b"")
+            if w[-1:] in b",." and len(w) > 1 and w[-2:-1].isalnum():
+                tail, s = w[-1:], s[:-1]
+            if s.isascii():
+                low = letters = s.lower()
+            else:
+                low = unicodedata.normalize("NFC", s).lower()
+                letters = low.encode().decode("latin-1").translate(self.letters)
+            if not low.isalpha() or max(low) > "\u024f":
+                other.append(w)
+                continue
+            ids = stems.get(low)
+            if ids is None:
+                found = [t.id for t in tokenize(letters)]
+                ids = stems[low] = struct.pack(f"<{len(found)}{self.pack}", *found)
+            if tail:
+                end = stems.get(tail.decode())
+                if end is None:
+                    end = stems[tail.decode()] = np.asarray(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids, self.type).tobytes()
+                ids = ids + end
+            known[w] = ids
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
+                known[w] = np.asarray(e.ids, self.type).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, without an end id."""
         split = [t.split() for t in texts]
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        known = self.known
-        missing = {w for ws in split for w in ws if w not in known}
+        here = set().union(*split)
+        missing = here.difference(self.known)
+        self.lately.append(here - missing)
+        if len(self.known) + len(missing) > MEMO_WORDS:  # keep what was met again of late
+            again = set().union(*self.lately)
+            self.known = {w: ids for w, ids in self.known.items() if w in again}
+            self.stems = {}
         if missing:
             self._add(missing)
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        found = self.known.__getitem__
+        return [b"".join(map(found, ws)) for ws in split]
+
+
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, width: int) -> WordEncoder:
+    """The process's encoder: a worker keeps its memory of words from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = WordEncoder(path, width)
+    return _ENCODERS[path, width]
 
 
-def text_batches(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def text_batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as bytes (null: empty), a few MB at a time, with the place of the first."""
     out, size, start = [], 0, 0
     for i, t in enumerate(column.cast(pa.large_binary())):
@@ -115,11 +160,11 @@ def segments(docs: DataFrame, path: str | None = None, end_id: int = END_ID, wid
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, bodies, held, seq = WordEncoder(path, width), [], [], 0, 0
+        words, ids, bodies, held, seq = encoder(path, width), [], [], 0, 0
         for b in batches:
             doc_ids = b["doc_id"].to_pylist()
             for start, texts in text_batches(b["text"]):
-                for i, body in zip(doc_ids[start : start + len(texts)], encoder.encode(texts), strict=True):
+                for i, body in zip(doc_ids[start : start + len(texts)], words.encode(texts), strict=True):
                     ids.append(i)
                     bodies.append(body + end)
                     held += len(bodies[-1]) // width
