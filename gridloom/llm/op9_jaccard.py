@@ -10,8 +10,8 @@ table of the most frequent shingles moves those to the end of the order.
 
 Candidates are never all pairs of a list: in each list all members meet the list's smallest set; what that leaves in
 one component is done, and only members of different components still meet. So a group of thousands of near copies
-costs as many checks as it has members, and no link between different components is missed. Candidates are verified
-on the texts.
+costs about as many checks as it has members, and no link between different components is missed. Parity sketches rule
+out, without error, most candidates that share rare shingles and don't link. The rest are verified on the texts.
 
 Null text and texts without words: empty set, linked with nothing. Under 4 words: the whole sequence is the one shingle.
 Null doc_id: set size, no component. Rows that repeat a doc_id count as one document with the larger set. Very long
@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkernel
@@ -41,6 +41,8 @@ COUNT_BYTES = 16 << 20
 #: What a scanned list entry costs, with the verification it may lead to, against a hashed subset.
 SCAN_COST = 8
 LARGEST_LIGHT = 20
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 8
 
 
 def need(n: int) -> int:
@@ -77,16 +79,34 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return run[bounds[1:]] - run[bounds[:-1]]
 
 
+def parities(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One row of SKETCH 64-bit words a document: for each of 512 hash buckets, whether its count of shingles is odd.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits: an exact bound on what they share.
+    """
+    n, width = len(bounds) - 1, 64 * SKETCH
+    at = np.repeat(np.arange(n), np.diff(bounds)) * width + (grams >> np.uint64(64 - (width - 1).bit_length())).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * width) & 1).astype(np.uint8).reshape(n, width)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit hash of the set (k1, k2)."""
+    """doc_id, n_shingles, a 128-bit hash of the set (k1, k2) and its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, grams, bounds in _sliced(b["text"]):
                 k1, k2 = (_sums(textkernel.mix(grams + np.uint64(c)), bounds).view(np.int64) for c in (11, 12))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+                sketch = pa.ListArray.from_arrays(np.arange(0, (j - i) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(parities(grams, bounds).ravel()))
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2), sketch], ["doc_id", "n", "k1", "k2", "sketch"])
+
+    return docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+
 
-    return docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long")
+def near_enough(n: Column, s: Column, other_n: Column, other_s: Column) -> Column:
+    """False where the sketches prove that two sets don't link."""
+    differ = sum(F.bit_count(F.get(s, k).bitwiseXOR(F.get(other_s, k))) for k in range(SKETCH))
+    return differ * (100 + PERCENT) <= (n + other_n) * (100 - PERCENT)
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +180,8 @@ def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray]) ->
                 for d in few:
                     own = mixed[bounds[d] : bounds[d + 1]]
                     whole = own.sum(dtype=np.uint64)
-                    keys = [whole - sum((own[k] for k in gone), np.uint64(0)) for r in range(len(own) - need(len(own)) + 1) for gone in combinations(range(len(own)), r)]
+                    with np.errstate(over="ignore"):  # hashes wrap
+                        keys = [whole - own[list(gone)].sum(dtype=np.uint64) for r in range(len(own) - need(len(own)) + 1) for gone in combinations(range(len(own)), r)]
                     token.append(textkernel.mix(np.asarray(keys, np.uint64)))
                     owner.append(np.full(len(keys), d))
                     small.append(np.ones(len(keys), bool))
@@ -180,7 +201,8 @@ def _shingles(text: bytes | None) -> frozenset:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their texts. Only the texts of candidates are shuffled."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
+    ids = materialize(ids, "candidates")
     texts = semi_join_ids(docs, ids, "doc_id", ids.count())
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -207,14 +229,18 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFr
     return out.withColumn(name, F.coalesce("__l", key)).drop("__l")
 
 
-def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
+def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame) -> DataFrame:
     """node, label for every document with a link; `entries`: token lists of documents with different sets."""
+    first_sketch = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
+    second_sketch = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
     first = F.min(F.when(F.col("small"), F.struct("n", "doc")))
     lists = entries.groupBy("token").agg(first.alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1 AND hub IS NOT NULL")
     members = entries.join(lists.select("token", F.col("hub.n").alias("hub_n"), F.col("hub.doc").alias("hub")), "token").where("doc <> hub")
     members = materialize(members, "members")
     fits = F.col("hub_n") * 100 >= F.col("n") * PERCENT
-    meets = materialize(members.where(fits & (F.col("hub_n") <= F.col("n"))).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "meets")
+    meets = members.where(fits & (F.col("hub_n") <= F.col("n"))).groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).agg(F.first("n").alias("na"), F.first("hub_n").alias("nb"))
+    meets = meets.join(first_sketch, "a").join(second_sketch, "b").where(near_enough(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
+    meets = materialize(meets, "meets")
     found = materialize(verify(meets.groupBy("a").agg(F.min("b").alias("b")), docs), "links")
     labels = components(found)
     more = _labelled(_labelled(meets, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
@@ -225,10 +251,12 @@ def links(docs: DataFrame, entries: DataFrame) -> DataFrame:
     # What is left: members of one list, none of them its hub, that are still in different components.
     left = _labelled(members, labels, "doc", "label")
     mixed = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    left = materialize(_labelled(left.join(mixed, "token"), labels, "hub", "hub_label"), "left")
-    out = left.where("label <> hub_label").select("token", *[F.col(c).alias(f"{c}_o") for c in ("doc", "n", "small", "label")])
+    left = _labelled(left.join(mixed, "token"), labels, "hub", "hub_label").join(sketches, "doc")
+    left = materialize(left, "left")
+    out = left.where("label <> hub_label").select("token", *[F.col(c).alias(f"{c}_o") for c in ("doc", "n", "small", "label", "sketch")])
     smaller = F.struct("n", "doc") < F.struct(F.col("n_o").alias("n"), F.col("doc_o").alias("doc"))
     may = (F.col("label") != F.col("label_o")) & (F.least("n", "n_o") * 100 >= F.greatest("n", "n_o") * PERCENT) & F.when(smaller, F.col("small")).otherwise(F.col("small_o"))
+    may = may & near_enough(F.col("n"), F.col("sketch"), F.col("n_o"), F.col("sketch_o"))
     rest = left.join(out, "token").where(may).select(F.greatest("doc", "doc_o").alias("a"), F.least("doc", "doc_o").alias("b")).distinct()
     turned = meets.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = materialize(rest.join(turned, ["a", "b"], "left_anti"), "meets-3")
@@ -240,9 +268,9 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = materialize(heads(rows), "heads")
-    known = head.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max_by(F.struct("n", "k1", "k2"), F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "s.*")
+    known = head.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "sketch")).alias("s")).select("doc_id", "s.*")
     same = materialize(
-        known.join(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), ["n", "k1", "k2"]).select("doc_id", "rep", "n"), "same-sets"
+        known.join(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), ["n", "k1", "k2"]).select("doc_id", "rep", "n", "sketch"), "same-sets"
     )
     copies = same.where("doc_id <> rep").select("doc_id")
     n_copies = copies.count()
@@ -250,7 +278,8 @@ def join(docs: DataFrame) -> DataFrame:
     own = semi_join_ids(own, copies, "doc_id", n_copies, "left_anti")
     histogram = {r["n"]: r["count"] for r in same.where("doc_id = rep").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
     entries = listed(own, light_boundary(histogram), frequent(rows))
-    labels = links(rows.where("doc_id IS NOT NULL"), entries)
+    sketches = same.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch")
+    labels = links(rows.where("doc_id IS NOT NULL"), entries, sketches)
     classes = _labelled(same, labels, "rep", "component_id").select("doc_id", "component_id")
     out = head.join(classes, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
