@@ -1,6 +1,562 @@
-"""Queries of the reference's own operators, by name, with their SQL."""
+"""Queries of the reference's own operators, by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.config import AGES, FAST_GRID, FILL, LEGACY, OTHER, PERIODS
+from gridloom.functions import sampling, scalar
+from gridloom.operators import charts, clusters, encode, lattice, metrics, profile, som, tune
+from gridloom.plans import pipeline
+from gridloom.sources import readers, writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c, places: int = 6):
+    return F.round(c, places)
+
+
+# ---- profiling -------------------------------------------------------------------------------------------------------
+
+_EVENTS = "SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, props FROM events"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), "props")
+
+
+_COLUMNS = ("event_id", "user_id", "event_type", "value", "props")
+
+
+@query(f"SELECT count(*) AS n_rows, 5::BIGINT AS n_columns, (sum((event_type IS NULL)::INT) + sum((value IS NULL)::INT))::BIGINT AS null_cells FROM ({_EVENTS})")
+def profile_shape_nulls(spark, sf_dir):
+    return profile.shape_nulls(_events(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce(sum(({c} IS NULL)::INT), 0)::BIGINT AS nulls FROM ({_EVENTS})" for c in _COLUMNS))
+def profile_top_missing(spark, sf_dir):
+    return profile.top_missing(_events(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_values FROM ({_EVENTS})" for c in _COLUMNS))
+def profile_distinct(spark, sf_dir):
+    return profile.distinct_counts(_events(spark, sf_dir))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 4) AS mean_value FROM ({_EVENTS})" for c in ("event_id", "user_id", "value")
+    )
+)
+def profile_numeric(spark, sf_dir):
+    return profile.numeric_summary(_events(spark, sf_dir)).withColumn("mean_value", _r("mean_value", 4))
+
+
+@query(
+    """WITH v AS (SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY ALL)
+    SELECT "column", value, n, rank FROM (SELECT *, (row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value))::INT AS rank FROM v) WHERE rank <= 3"""
+)
+def profile_top3(spark, sf_dir):
+    return profile.top_values(_table(spark, sf_dir, "part"), ["p_brand", "p_type"])
+
+
+@query()
+def profile_types(spark, sf_dir):
+    return charts.data_types(_table(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT round_even(0.3 * count(*), 0)::BIGINT AS n_rows, round_even(0.3 * count(*), 0)::BIGINT AS n_ids FROM orders")
+def sample_exact(spark, sf_dir):
+    got = sampling.sample_fraction(_table(spark, sf_dir, "orders").withColumn("_row_id", F.col("o_orderkey")), 0.3, 42)
+    return got.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_ids"))
+
+
+# ---- features --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, dayname(t) AS day, monthname(t) AS month, year(t)::INT AS year, coalesce(isodow(t) >= 6, false) AS weekend
+    FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS t FROM events)"""
+)
+def feat_dayname_month_year_weekend(spark, sf_dir):
+    t = F.when(F.col("event_id") % 11 != 0, F.col("ts"))
+    rows = _table(spark, sf_dir, "events").select("event_id", t.alias("t"))
+    return rows.select("event_id", scalar.day_name(F.col("t")).alias("day"), scalar.month_name(F.col("t")).alias("month"), F.year("t").alias("year"), scalar.is_weekend(F.col("t")).alias("weekend"))
+
+
+_HOUR_SQL = """CASE event_id % 9 WHEN 0 THEN strftime(ts, '%H:%M') WHEN 1 THEN strftime(ts, '%Hh%M') WHEN 2 THEN hour(ts)::VARCHAR WHEN 3 THEN 'sem hora'
+    WHEN 4 THEN strftime(ts, '%H.%M') WHEN 5 THEN strftime(ts, '%H%M') WHEN 6 THEN NULL WHEN 7 THEN ' 7 :30' ELSE strftime(ts, '%HH%M') END"""
+
+
+def _hour_text():
+    k, f = F.col("event_id") % 9, F.date_format
+    return (
+        F.when(k == 0, f("ts", "HH:mm")).when(k == 1, f("ts", "HH'h'mm")).when(k == 2, F.hour("ts").cast("string")).when(k == 3, "sem hora").when(k == 4, f("ts", "HH.mm"))
+        .when(k == 5, f("ts", "HHmm")).when(k == 7, " 7 :30").when(k == 8, f("ts", "HH'H'mm"))
+    )
+
+
+_PARSED = f"""SELECT event_id, CASE WHEN contains(d, ':') THEN try_cast(regexp_extract(trim(split_part(d, ':', 1)), '^[+-]?[0-9]+$') AS INT)
+    WHEN regexp_matches(d, '^[0-9]+$') THEN try_cast(substr(d, 1, 2) AS INT) END AS hour FROM (SELECT event_id, translate(trim({_HOUR_SQL}), 'h.', '::') AS d FROM events)"""
+
+
+@query(_PARSED)
+def feat_hour_parse(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", scalar.parse_hour(_hour_text()).alias("hour"))
+
+
+def _case(column: str, bins: tuple) -> str:
+    return "CASE " + " ".join(f"WHEN {column} > {lo} AND {column} <= {hi} THEN '{label}'" for lo, hi, label in bins) + " ELSE 'nan' END"
+
+
+@query(f"SELECT {_case('hour', PERIODS)} AS period, count(*) AS n FROM ({_PARSED}) GROUP BY ALL")
+def feat_period_bins(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(scalar.parse_hour(_hour_text()).alias("hour"))
+    return rows.groupBy(scalar.period_of_day(F.col("hour")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT c_custkey, {_case('a', AGES)} AS band FROM (SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN (c_custkey * 7) % 230 - 10 END AS a FROM customer)")
+def feat_age_bins(spark, sf_dir):
+    age = F.when(F.col("c_custkey") % 13 != 0, (F.col("c_custkey") * 7) % 230 - 10)
+    return _table(spark, sf_dir, "customer").select("c_custkey", scalar.age_band(age).alias("band"))
+
+
+@query(
+    r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN k::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN -k::DOUBLE - 0.5 ELSE NULL END AS number
+    FROM (SELECT event_id, regexp_extract(props, '[0-9]+')::INT AS k FROM events)"""
+)
+def feat_coerce_numeric(spark, sf_dir):
+    k, way = F.regexp_extract("props", "[0-9]+", 0), F.col("event_id") % 4
+    text = F.when(way == 0, F.concat(F.lit(" "), k, F.lit(" "))).when(way == 1, F.concat(k, F.lit(",5"))).when(way == 2, F.concat(F.lit("-"), k, F.lit(".5"))).otherwise("")
+    return _table(spark, sf_dir, "events").select("event_id", scalar.to_number(text).alias("number"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS day FROM orders")
+def feat_coerce_date(spark, sf_dir):
+    way = F.col("o_orderkey") % 3
+    text = F.when(way == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(way == 1, F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", scalar.to_timestamp(text, "yyyy-MM-dd").cast("date").alias("day"))
+
+
+@query("SELECT c_custkey, (nullif(c_nationkey, 3) IS NOT NULL AND c_acctbal >= 0) AS has_coordinates FROM customer")
+def feat_has_coords(spark, sf_dir):
+    lat, lon = F.nullif("c_nationkey", F.lit(3)), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", scalar.has_coordinates(lat, lon).alias("has_coordinates"))
+
+
+# ---- encoding --------------------------------------------------------------------------------------------------------
+
+_NAMES = f"SELECT 'p_name' AS \"column\", coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_name END, '{FILL}') AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part"
+
+
+@query(
+    f"""WITH v AS ({_NAMES}), c AS (SELECT "column", v, count(*) AS n FROM v GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v) AS rank, count(*) OVER (PARTITION BY "column") AS levels FROM c)
+    SELECT "column", CASE WHEN levels <= 20 OR rank <= 15 THEN v ELSE '{OTHER}' END AS value, sum(n)::BIGINT AS n FROM r GROUP BY ALL"""
+)
+def enc_fill_cap(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("p_name"), "p_type")
+    fitted = encode.fit(rows)
+    capped = rows.select(*[encode.capped(F.col(c), fitted.kept[c]).alias(c) for c in fitted.categorical])
+    return profile.value_counts(capped, fitted.categorical)
+
+
+_CUSTOMER = "SELECT c_custkey AS _row_id, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS balance, c_nationkey AS nation, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS segment FROM customer"
+_IMPUTED = f"SELECT _row_id, coalesce(balance, median(balance) OVER ()) AS balance, nation FROM ({_CUSTOMER})"
+
+
+def _customer(spark, sf_dir) -> DataFrame:
+    key = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(
+        key.alias("_row_id"), F.when(key % 5 != 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation"), F.when(key % 9 != 0, F.col("c_mktsegment")).alias("segment")
+    )
+
+
+@query(f"SELECT round(quantile_cont(balance, 0.5), 4) AS median_balance, round(quantile_cont(nation::DOUBLE, 0.5), 4) AS median_nation FROM ({_CUSTOMER})")
+def enc_median_impute(spark, sf_dir):
+    fitted = encode.fit(_customer(spark, sf_dir))
+    row = [(round(fitted.medians["balance"], 4), round(fitted.medians["nation"], 4))]
+    return spark.createDataFrame(row, "median_balance double, median_nation double")
+
+
+@query(
+    f"""WITH i AS ({_IMPUTED}) SELECT _row_id, round((balance - avg(balance) OVER ()) / stddev_pop(balance) OVER (), 4) AS balance,
+    round((nation - avg(nation) OVER ()) / stddev_pop(nation) OVER (), 4) AS nation FROM i"""
+)
+def enc_standardize(spark, sf_dir):
+    rows = _customer(spark, sf_dir)
+    fitted = encode.fit(rows)
+    return rows.select("_row_id", *[_r(encode.numeric_value(fitted, c), 4).alias(c) for c in fitted.numeric])
+
+
+@query(f"SELECT 'segment_' || coalesce(segment, '{FILL}') AS name, count(*)::DOUBLE AS total FROM ({_CUSTOMER}) GROUP BY ALL")
+def enc_onehot(spark, sf_dir):
+    rows = _customer(spark, sf_dir)
+    fitted = encode.fit(rows)
+    names = F.array(*[F.lit(n) for n in fitted.names])
+    cells = encode.transform(rows, fitted).select(F.posexplode("features").alias("at", "value")).where(F.col("at") >= len(fitted.numeric))
+    return cells.groupBy("at").agg(F.sum("value").alias("total")).select(F.get(names, "at").alias("name"), "total")
+
+
+@query(
+    f"""WITH i AS ({_IMPUTED}), z AS (SELECT (balance <> avg(balance) OVER ())::INT + (nation <> avg(nation) OVER ())::INT + 1 AS nz FROM i),
+    f AS (SELECT 2 + count(DISTINCT coalesce(segment, '{FILL}')) AS n FROM ({_CUSTOMER}))
+    SELECT count(*) AS n_rows, (SELECT n FROM f) AS n_features, sum(nz)::BIGINT AS n_nonzero, round(sum(nz) / (count(*) * (SELECT n FROM f)), 6) AS density FROM z"""
+)
+def enc_matrix_density(spark, sf_dir):
+    rows = _customer(spark, sf_dir)
+    return profile.matrix_density(encode.transform(rows, encode.fit(rows))).withColumn("density", _r("density"))
+
+
+@query(
+    f"""WITH s AS (SELECT count(*) AS n FROM ({_CUSTOMER})) SELECT count(*) AS n_cells, round(sum(v), 3) AS total FROM (
+    WITH i AS ({_IMPUTED}) SELECT (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS v FROM i UNION ALL SELECT (nation - avg(nation) OVER ()) / stddev_pop(nation) OVER () FROM i
+    UNION ALL SELECT 1.0 FROM i) WHERE v <> 0"""
+)
+def enc_sparse_long(spark, sf_dir):
+    rows = _customer(spark, sf_dir)
+    cells = writers.sparse_long(encode.transform(rows, encode.fit(rows)))
+    return cells.agg(F.count(F.lit(1)).alias("n_cells"), _r(F.sum(F.col("value").cast("double")), 3).alias("total"))
+
+
+@query(
+    """SELECT count(*) AS n, sum(l_orderkey::INT)::BIGINT AS orders, round(sum(l_extendedprice::FLOAT::DOUBLE), 2) AS price, round(sum(l_discount::FLOAT::DOUBLE), 4) AS discount FROM lineitem"""
+)
+def cast_narrow(spark, sf_dir):
+    rows = profile.narrow_types(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount"))
+    total = lambda c: F.sum(F.col(c).cast("double"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"), _r(total("l_extendedprice"), 2).alias("price"), _r(total("l_discount"), 4).alias("discount"))
+
+
+# ---- maps ------------------------------------------------------------------------------------------------------------
+
+_SIDE = 4
+_BMU = """cb AS MATERIALIZED (SELECT vec_id::INT AS k, (vec_id // 4)::INT AS i, (vec_id % 4)::INT AS j, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < 16),
+    dist AS (SELECT e.vec_id, c.k, list_distance(e.embedding::DOUBLE[], c.w) AS d FROM embeddings e CROSS JOIN cb c),
+    near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS rn FROM dist),
+    units AS MATERIALIZED (SELECT vec_id AS _row_id, max(CASE WHEN rn = 1 THEN k END) AS k1, max(CASE WHEN rn = 1 THEN d END) AS d1, max(CASE WHEN rn = 2 THEN k END) AS k2 FROM near WHERE rn <= 2 GROUP BY 1)"""
+_HITS = _BMU + ", hits AS MATERIALIZED (SELECT c.i, c.j, count(u.k1) AS hits FROM cb c LEFT JOIN units u ON u.k1 = c.k GROUP BY 1, 2)"
+_THRESHOLD = LEGACY.density_threshold * 2
+_LATTICE = (
+    _HITS
+    + f""", mask AS MATERIALIZED (SELECT i, j, i * 4 + j AS cell FROM hits WHERE hits / (SELECT max(hits) FROM hits) > {_THRESHOLD}),
+    reach(cell, root) AS (SELECT cell, cell FROM mask UNION SELECT m.cell, r.root FROM reach r JOIN mask s ON s.cell = r.cell JOIN mask m ON abs(m.i - s.i) + abs(m.j - s.j) = 1),
+    roots AS (SELECT cell, min(root) AS root FROM reach GROUP BY cell),
+    lattice AS MATERIALIZED (SELECT h.i, h.j, coalesce(dense_rank() OVER (ORDER BY r.root NULLS LAST), 0)::INT * (r.root IS NOT NULL)::INT AS cluster FROM hits h LEFT JOIN roots r ON r.cell = h.i * 4 + h.j)"""
+)
+
+
+def _with(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {select}"
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    return readers.vectors(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
+def _model(spark, sf_dir) -> som.SomModel:
+    first = _table(spark, sf_dir, "embeddings").where(F.col("vec_id") < _SIDE * _SIDE)
+    return som.SomModel.from_frame(first.select(F.floor(F.col("vec_id") / _SIDE).cast("int").alias("i"), (F.col("vec_id") % _SIDE).cast("int").alias("j"), F.col("embedding").alias("w")))
+
+
+def _units(spark, sf_dir) -> DataFrame:
+    return som.bmu(_rows(spark, sf_dir), _model(spark, sf_dir))
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return lattice.activation_map(_units(spark, sf_dir), _SIDE, _SIDE)
+
+
+def _lattice(spark, sf_dir) -> DataFrame:
+    return lattice.label_lattice(_hits(spark, sf_dir), _SIDE, _THRESHOLD)
+
+
+@query(_with(_BMU, "SELECT _row_id, k1, round(d1, 6) AS d1, k2 FROM units"))
+def som_bmu(spark, sf_dir):
+    return _units(spark, sf_dir).withColumn("d1", _r("d1"))
+
+
+@query(_with(_HITS, "SELECT i, j, hits FROM hits"))
+def som_activation_map(spark, sf_dir):
+    return _hits(spark, sf_dir)
+
+
+@query(_with(_BMU, "SELECT round(avg(d1), 6) AS quantization_error FROM units"))
+def som_qe(spark, sf_dir):
+    return som.quantization_error(_units(spark, sf_dir)).select(_r("quantization_error").alias("quantization_error"))
+
+
+@query(_with(_BMU, "SELECT round(avg(CASE WHEN greatest(abs(k1 // 4 - k2 // 4), abs(k1 % 4 - k2 % 4)) > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS topographic_error FROM units"))
+def som_te(spark, sf_dir):
+    return som.topographic_error(_units(spark, sf_dir), _SIDE).select(_r("topographic_error").alias("topographic_error"))
+
+
+_UMATRIX = _BMU + """, nb AS (SELECT a.i, a.j, sum(list_distance(a.w, b.w)) AS s FROM cb a JOIN cb b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND a.k <> b.k GROUP BY 1, 2),
+    um AS (SELECT i, j, s / (SELECT max(s) FROM nb) AS u FROM nb)"""
+
+
+@query(_with(_UMATRIX, "SELECT i, j, round(u, 6) AS u FROM um"))
+def som_umatrix(spark, sf_dir):
+    return lattice.umatrix(_model(spark, sf_dir).to_frame(spark)).withColumn("u", _r("u"))
+
+
+@query(_with(_UMATRIX, "SELECT k::INT AS level, round((SELECT min(u) FROM um) + ((SELECT max(u) FROM um) - (SELECT min(u) FROM um)) * k / 9, 6) AS value FROM range(10) t(k)"))
+def som_map_levels(spark, sf_dir):
+    return charts.umatrix(_model(spark, sf_dir).to_frame(spark))[1].withColumn("value", _r("value"))
+
+
+_SMOOTH = _HITS + """, o AS (SELECT a::INT AS a, exp(-a * a / 2.0) / (SELECT sum(exp(-x * x / 2.0)) FROM range(-4, 5) r(x)) AS w FROM range(-4, 5) t(a)),
+    m AS (SELECT c.i AS ci, c.j AS cj, (((c.i + p.a) % 8) + 8) % 8 AS mi, (((c.j + q.a) % 8) + 8) % 8 AS mj, p.w * q.w AS w FROM hits c CROSS JOIN o p CROSS JOIN o q),
+    sm AS (SELECT ci AS i, cj AS j, sum(m.w * h.hits) AS smoothed FROM m JOIN hits h ON h.i = CASE WHEN mi >= 4 THEN 7 - mi ELSE mi END AND h.j = CASE WHEN mj >= 4 THEN 7 - mj ELSE mj END GROUP BY 1, 2)"""
+
+
+@query(_with(_SMOOTH, "SELECT i, j, round(smoothed, 6) AS smoothed FROM sm"))
+def som_smooth(spark, sf_dir):
+    return lattice.smooth(_hits(spark, sf_dir), _SIDE, _SIDE).withColumn("smoothed", _r("smoothed"))
+
+
+@query(_with(_SMOOTH, "SELECT h.i, h.j, h.hits, round(s.smoothed, 6) AS smoothed, h.hits <= (SELECT quantile_cont(hits, 0.7) FROM hits) AS dark_text FROM hits h JOIN sm s USING (i, j)"))
+def som_map_stats(spark, sf_dir):
+    return charts.activation(_hits(spark, sf_dir), _SIDE, _SIDE).withColumn("smoothed", _r("smoothed"))
+
+
+@query(_with(_HITS, f"SELECT i, j, hits, round(hits / (SELECT max(hits) FROM hits), 6) AS share, hits / (SELECT max(hits) FROM hits) > {_THRESHOLD} AS is_dense FROM hits"))
+def som_normalized_mask(spark, sf_dir):
+    cells = lattice.normalized(_hits(spark, sf_dir))
+    return cells.select("i", "j", "hits", _r("share").alias("share"), (F.col("share") > _THRESHOLD).alias("is_dense"))
+
+
+@query(_with(_LATTICE, "SELECT i, j, cluster FROM lattice", True))
+def som_components(spark, sf_dir):
+    return _lattice(spark, sf_dir)
+
+
+@query(_with(_LATTICE, "SELECT cluster, round(avg(i), 6) AS row, round(avg(j), 6) AS col FROM lattice WHERE cluster > 0 GROUP BY 1", True))
+def som_component_centroids(spark, sf_dir):
+    return charts.natural_clusters(_lattice(spark, sf_dir))[1].select("cluster", _r("row").alias("row"), _r("col").alias("col"))
+
+
+@query(
+    _with(
+        _BMU,
+        """, x AS (SELECT u.k1, generate_subscripts(e.embedding, 1) - 1 AS dim, unnest(e.embedding::DOUBLE[]) AS v FROM units u JOIN embeddings e ON e.vec_id = u._row_id),
+        s AS (SELECT k1, dim, sum(v) AS total, count(*) AS n FROM x GROUP BY 1, 2),
+        h AS (SELECT a.k, b.k AS c, exp(-((a.i - b.i) ** 2 + (a.j - b.j) ** 2) / 2.0) AS h FROM cb a CROSS JOIN cb b)
+        SELECT h.k, s.dim::INT AS dim, round(sum(h.h * s.total) / sum(h.h * s.n), 6) AS w FROM h JOIN s ON s.k1 = h.c GROUP BY 1, 2""".lstrip(),
+    ).replace("units, x AS", "units, x AS")
+)
+def som_batch_epoch(spark, sf_dir):
+    return som.batch_epoch(_rows(spark, sf_dir), _model(spark, sf_dir), 1.0).withColumn("w", _r("w"))
+
+
+@query()
+def som_train_online(spark, sf_dir):
+    return som.train(_rows(spark, sf_dir), 5, 5, 1.0, 0.5, 500).to_frame(spark)
+
+
+# ---- clusters --------------------------------------------------------------------------------------------------------
+
+
+@query(_with(_LATTICE, "SELECT u._row_id, l.cluster FROM units u JOIN lattice l ON l.i * 4 + l.j = u.k1", True))
+def cluster_assign(spark, sf_dir):
+    units = _units(spark, sf_dir).persist()
+    return clusters.assign(units, lattice.label_lattice(lattice.activation_map(units, _SIDE, _SIDE), _SIDE, _THRESHOLD), _SIDE)
+
+
+_SIZES = "n AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1)"
+_VALID = (
+    _SIZES
+    + ", ok AS (SELECT cluster, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS r FROM n WHERE cluster <> 0 AND n >= floor((SELECT sum(n) FROM n) * 0.09)) WHERE r <= 5)"
+)
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_row_id"), F.col("label").alias("cluster"))
+
+
+def _pruned(spark, sf_dir) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    return clusters.prune(labels, clusters.valid_clusters(labels, 5, 0.09, LEGACY))
+
+
+@query(_with(_VALID, "SELECT e.vec_id AS _row_id, coalesce(ok.cluster, 0)::INT AS cluster FROM embeddings e LEFT JOIN ok ON ok.cluster = e.label"))
+def cluster_prune(spark, sf_dir):
+    return _pruned(spark, sf_dir)
+
+
+@query(_with(_VALID, "SELECT e.vec_id, e.label, coalesce(ok.cluster, 0)::INT AS \"CLUSTER_SOM\" FROM embeddings e LEFT JOIN ok ON ok.cluster = e.label"))
+def cluster_attach(spark, sf_dir):
+    raw = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("vec_id").alias("_row_id"))
+    return clusters.attach(raw, _pruned(spark, sf_dir)).drop("_row_id")
+
+
+@query(_with(_VALID, "SELECT coalesce(ok.cluster, 0)::INT AS cluster, count(*) AS n FROM embeddings e LEFT JOIN ok ON ok.cluster = e.label GROUP BY 1"))
+def cluster_distribution(spark, sf_dir):
+    return clusters.distribution(_pruned(spark, sf_dir))
+
+
+@query(_with(_SIZES, "SELECT cluster, n, round(n * 100.0 / (SELECT sum(n) FROM n), 6) AS pct, n > 0.01 * (SELECT sum(n) FROM n WHERE cluster <> 0) AS in_pie FROM n WHERE cluster <> 0"))
+def cluster_share_pie(spark, sf_dir):
+    return charts.cluster_distribution(_labels(spark, sf_dir)).withColumn("pct", _r("pct"))
+
+
+@query(
+    """WITH v AS (SELECT o_custkey % 4 AS cluster, 0 AS place, 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders UNION ALL
+    SELECT o_custkey % 4, 1, 'o_orderpriority', o_orderpriority FROM orders),
+    c AS (SELECT cluster, place, "column", value, count(*) AS n FROM v WHERE cluster <> 0 GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY cluster, place) AS size, row_number() OVER (PARTITION BY cluster, place ORDER BY n DESC, value) AS rank FROM c)
+    SELECT cluster, "column", value, n, round(n * 100.0 / size, 6) AS pct FROM r WHERE rank = 1 AND n > size * 0.25"""
+)
+def cluster_top_values(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").withColumn("cluster", F.col("o_custkey") % 4)
+    return clusters.top_values(rows, "cluster", ["o_orderstatus", "o_orderpriority"]).withColumn("pct", _r("pct"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT c_nationkey % 5 AS cluster, '{c}' AS \"column\", round(avg({c}), 4) AS mean_value, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1"
+        for c in ("c_custkey", "c_nationkey", "c_acctbal")
+    )
+)
+def cluster_numeric_stats(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").withColumn("cluster", F.col("c_nationkey") % 5)
+    return clusters.numeric_stats(rows, "cluster", ["c_custkey", "c_nationkey", "c_acctbal"]).withColumn("mean_value", _r("mean_value", 4))
+
+
+# ---- quality ---------------------------------------------------------------------------------------------------------
+
+_Q = """q AS MATERIALIZED (SELECT vec_id AS id, label AS c, embedding::DOUBLE[] AS x FROM embeddings WHERE label <> 0)"""
+_FLAT = _Q + ", f AS (SELECT id, c, generate_subscripts(x, 1) AS d, unnest(x) AS v FROM q), m AS MATERIALIZED (SELECT c, d, count(*) AS n, avg(v) AS mean, var_pop(v) AS var FROM f GROUP BY 1, 2)"
+
+
+def _quality_rows(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_row_id"), F.col("embedding").alias("features"), F.col("label").alias("cluster"))
+
+
+@query(
+    _with(
+        _Q,
+        """, p AS (SELECT a.id, a.c, b.c AS o, sum(list_distance(a.x, b.x)) AS t, count(*) AS n FROM q a CROSS JOIN q b GROUP BY 1, 2, 3),
+        s AS (SELECT id, max(CASE WHEN o = c AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN o <> c THEN t / n END) AS b FROM p GROUP BY 1)
+        SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM s""",
+    )
+)
+def quality_silhouette(spark, sf_dir):
+    return metrics.silhouette(_quality_rows(spark, sf_dir)).select(_r("silhouette").alias("silhouette"))
+
+
+@query(
+    _with(
+        _FLAT,
+        """, g AS (SELECT d, avg(v) AS g FROM f GROUP BY 1), z AS (SELECT sum(n * (mean - g) ** 2) AS b, sum(n * var) AS w, count(DISTINCT c) AS k FROM m JOIN g USING (d))
+        SELECT round((b / (k - 1)) / (w / ((SELECT count(*) FROM q) - k)), 6) AS calinski_harabasz FROM z""",
+    )
+)
+def quality_ch(spark, sf_dir):
+    return metrics.calinski_harabasz(_quality_rows(spark, sf_dir)).select(_r("calinski_harabasz").alias("calinski_harabasz"))
+
+
+@query(
+    _with(
+        _FLAT,
+        """, k AS (SELECT c, list(mean ORDER BY d) AS centre FROM m GROUP BY 1), s AS (SELECT q.c, k.centre, avg(list_distance(q.x, k.centre)) AS s FROM q JOIN k USING (c) GROUP BY 1, 2)
+        SELECT round(avg(w), 6) AS davies_bouldin FROM (SELECT a.c, max((a.s + b.s) / list_distance(a.centre, b.centre)) AS w FROM s a JOIN s b ON a.c <> b.c GROUP BY 1)""",
+    )
+)
+def quality_db(spark, sf_dir):
+    return metrics.davies_bouldin(_quality_rows(spark, sf_dir)).select(_r("davies_bouldin").alias("davies_bouldin"))
+
+
+@query(
+    """WITH b AS (SELECT k, count(e.label) AS n FROM range((SELECT max(label) + 1 FROM embeddings)) t(k) LEFT JOIN embeddings e ON e.label = k AND e.label <> 0 GROUP BY 1),
+    c AS (SELECT stddev_pop(n) / avg(n) AS cv FROM b) SELECT round(cv, 6) AS imbalance, round(1 / (1 + cv), 6) AS balance FROM c"""
+)
+def quality_balance(spark, sf_dir):
+    return metrics.balance(_labels(spark, sf_dir)).select(_r("imbalance").alias("imbalance"), _r("balance").alias("balance"))
+
+
+@query("SELECT k::INT AS bin, count(e.label) AS n FROM range((SELECT max(label) + 1 FROM embeddings)) t(k) LEFT JOIN embeddings e ON e.label = k AND e.label <> 0 GROUP BY 1")
+def quality_bins(spark, sf_dir):
+    return metrics.bin_counts(_labels(spark, sf_dir))
+
+
+@query(_with(_BMU, "SELECT round(avg(a), 6) AS som_quality FROM (SELECT avg(u.d1) AS a FROM units u JOIN embeddings e ON e.vec_id = u._row_id WHERE e.label <> 0 GROUP BY e.label)"))
+def quality_som(spark, sf_dir):
+    return metrics.som_quality(_units(spark, sf_dir), _labels(spark, sf_dir)).select(_r("som_quality").alias("som_quality"))
+
+
+@query(
+    """SELECT v::DOUBLE AS value, CASE WHEN v > 0.7 THEN 'strong' WHEN v > 0.5 THEN 'reasonable' WHEN v > 0.25 THEN 'weak' ELSE 'none' END AS separation,
+    CASE WHEN v > 0.7 THEN 'balanced' WHEN v > 0.5 THEN 'moderate' ELSE 'unbalanced' END AS evenness FROM (SELECT k / 20.0::DOUBLE AS v FROM range(-20, 21) t(k))"""
+)
+def quality_labels(spark, sf_dir):
+    v = spark.range(-20, 21).select((F.col("id") / 20.0).alias("value"))
+    return v.select("value", scalar.silhouette_label(F.col("value")).alias("separation"), scalar.balance_label(F.col("value")).alias("evenness"))
+
+
+# ---- search ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM " + " CROSS JOIN ".join(f"(VALUES {', '.join(f'({v}{"::BIGINT" if isinstance(v, int) else "::DOUBLE"})' for v in vs)}) t_{k}({k})" for k, vs in FAST_GRID.items()))
+def tune_grid(spark, sf_dir):
+    return tune.grid_frame(spark, FAST_GRID)
+
+
+@query(
+    """SELECT q::DOUBLE / 4 AS qe, t::DOUBLE / 10 AS te, s::DOUBLE / 5 AS silhouette, round(0.4 / (1 + q::DOUBLE / 4) + 0.3 / (1 + t::DOUBLE / 10) + 0.3 * s::DOUBLE / 5, 6) AS score
+    FROM range(6) a(q) CROSS JOIN range(6) b(t) CROSS JOIN range(-2, 6) c(s)"""
+)
+def tune_score(spark, sf_dir):
+    every = lambda name, lo, hi, by: spark.range(lo, hi, 1, 1).select((F.col("id") / by).alias(name))
+    rows = every("qe", 0, 6, 4).crossJoin(every("te", 0, 6, 10)).crossJoin(every("silhouette", -2, 6, 5))
+    return rows.withColumn("score", _r(tune.composite(F.col("qe"), F.col("te"), F.col("silhouette"))))
+
+
+@query()
+def tune_search(spark, sf_dir):
+    params = {"som_x": [3], "som_y": [3, 4], "sigma": [0.8, 1.0], "learning_rate": [0.3], "iterations": [100]}
+    return tune.history_frame(spark, tune.search(_rows(spark, sf_dir), params, 3)[1])
+
+
+# ---- the whole analysis ----------------------------------------------------------------------------------------------
+
+
+def incidents(spark, sf_dir) -> DataFrame:
+    """The events in the shape of an incident table."""
+    e = _table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("_row_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("DATA_OCORRENCIA"),
+        F.date_format("ts", "HH:mm").alias("HORA_OCORRENCIA"),
+        (F.col("value") % 90).cast("string").alias("LATITUDE"),
+        (F.col("user_id") % 180).cast("string").alias("LONGITUDE"),
+        (F.col("user_id") % 95).cast("string").alias("IDADE_PESSOA"),
+        F.col("event_type").alias("NATUREZA_APURADA"),
+        F.concat(F.lit("C"), F.col("user_id") % 30).alias("CIDADE"),
+    )
+
+
+@query()
+def pipeline_end_to_end(spark, sf_dir):
+    got = pipeline.cluster_rows(incidents(spark, sf_dir), LEGACY, map_size=6, iterations=300, silhouette_rows=1000)
+    return got["rows"]
