@@ -64,3 +64,22 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str
 def fold_mod5(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5, the fold that decides which labels and texts may be learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def id_buckets(rows: DataFrame, column: str, buckets: int, name: str = "bucket", coarse: int = 256) -> DataFrame:
+    """`rows` with a bucket of consecutive ids of about equal row counts: quantile cuts, then even steps between two cuts.
+
+    The cuts are a literal of bounded size; ids are read alone to find them.
+    """
+    coarse = min(coarse, max(1, buckets))
+    fine = max(1, -(-buckets // coarse))
+    cuts = rows.agg(F.percentile_approx(column, [i / coarse for i in range(1, coarse)] or [0.5], 20 * coarse)).first()[0]
+    cuts = sorted(set(cuts or [])) if coarse > 1 else []
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    place = F.size(F.filter(edges, lambda c: c <= F.col(column)))
+    if fine == 1:
+        return rows.withColumn(name, place)
+    big = "decimal(20,0)"
+    lo, hi = F.get(edges, F.col(name) - 1), F.get(edges, F.col(name))
+    part = F.floor((F.col(column).cast(big) - lo.cast(big)) * fine / (hi.cast(big) - lo.cast(big) + 1)).cast("int")
+    return rows.withColumn(name, place).withColumn(name, F.col(name) * fine + F.coalesce(part, F.lit(0)))

@@ -105,8 +105,8 @@ class WordEncoder:
             for w, e in zip(other, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
                 known[w] = np.asarray(e.ids, self.type).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text, without an end id."""
+    def words(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Little-endian ids of each word of each text, without an end id."""
         split = [t.split() for t in texts]
         here = set().union(*split)
         missing = here.difference(self.known)
@@ -118,7 +118,11 @@ class WordEncoder:
         if missing:
             self._add(missing)
         found = self.known.__getitem__
-        return [b"".join(map(found, ws)) for ws in split]
+        return [list(map(found, ws)) for ws in split]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each text, without an end id."""
+        return [b"".join(ws) for ws in self.words(texts)]
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}

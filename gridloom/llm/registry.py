@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import op1_sharding, op2_substrings, op3_tokens, op4_mixing, op6_quality, op7_toxicity, op8_fingerprints, op9_jaccard, op10_decontam
+from gridloom.llm import op1_sharding, op2_substrings, op3_tokens, op4_mixing, op5_lm, op6_quality, op7_toxicity, op8_fingerprints, op9_jaccard, op10_decontam
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
     "op2_substrings": op2_substrings.query,
     "op3_tokens": op3_tokens.query,
     "op4_mixing": op4_mixing.query,
+    "op5_lm": op5_lm.query,
     "op6_quality": op6_quality.query,
     "op7_toxicity": op7_toxicity.query,
     "op8_fingerprints": op8_fingerprints.query,
