@@ -78,7 +78,7 @@ def matrix_density(matrix: DataFrame, column: str = "features") -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the table's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def driver_memory_mb() -> float:
