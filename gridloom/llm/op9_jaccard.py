@@ -277,7 +277,7 @@ def join(docs: DataFrame) -> DataFrame:
     own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     own = semi_join_ids(own, copies, "doc_id", n_copies, "left_anti")
     histogram = {r["n"]: r["count"] for r in same.where("doc_id = rep").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
-    entries = listed(own, light_boundary(histogram), frequent(rows))
+    entries = materialize(listed(own, light_boundary(histogram), frequent(rows)), "entries")
     sketches = same.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch")
     labels = links(rows.where("doc_id IS NOT NULL"), entries, sketches)
     classes = _labelled(same, labels, "rep", "component_id").select("doc_id", "component_id")
