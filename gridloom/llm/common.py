@@ -40,6 +40,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts at most: some MB of ordinary documents.
+TEXT_BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small Arrow batches (a session setting): a worker holds a batch in several copies."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

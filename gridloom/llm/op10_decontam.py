@@ -113,3 +113,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+
+
+_CUT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), lambda x: x <> '')"
+_SEEDS = "array_to_string(list_concat(w[p : p + 2], w[p + o : p + o + 2]), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - o - 1)) AS p FROM"
+
+ORACLE = f"""
+WITH m(o) AS (VALUES {", ".join(f"({o})" for o in MASKS)}),
+dw AS MATERIALIZED (SELECT doc_id, {_CUT} AS w FROM documents),
+iw AS MATERIALIZED (SELECT item_id, w FROM (SELECT item_id, {_CUT} AS w FROM benchmark) WHERE len(w) >= {LEAST_ITEM_WORDS}),
+ds AS (SELECT doc_id, o, p, {_SEEDS} dw, m)), si AS (SELECT item_id, o, p, {_SEEDS} iw, m)),
+h AS MATERIALIZED (SELECT doc_id, item_id, ds.p - si.p AS shift, count(*) AS n FROM ds JOIN si USING (o, k) GROUP BY 1, 2, 3),
+a AS (SELECT doc_id, item_id, shift, n, least(len(iw.w), {WINDOW}) AS width, len(iw.w) AS len,
+  list_transform(range(1, len(iw.w) + 1), lambda k: CASE WHEN k + shift >= 1 AND dw.w[k + shift] = iw.w[k] THEN 1 ELSE 0 END) AS same FROM h JOIN iw USING (item_id) JOIN dw USING (doc_id)),
+b AS (SELECT *, list_max(list_transform(range(1, len - width + 2), lambda s: list_sum(same[s : s + width - 1]))) AS agree FROM a)
+SELECT doc_id, item_id, max(agree)::INT AS agree, min(shift)::INT AS place, sum(n)::BIGINT AS n_hits FROM b
+WHERE agree >= least({AGREE}, ceil(len * {AGREE} / {WINDOW})) GROUP BY 1, 2
+"""

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkernel
+from gridloom.llm.common import small_batches
 
 WINDOW, SEED = 13, 5
 #: Bytes kept of a window's hash and of a minimizer.
@@ -237,6 +238,7 @@ def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept text (words joined by one space) of every document."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes, n, n_ids = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.countDistinct("doc_id")).first()
     tie = F.lit(0).cast("long") if n == n_ids else F.coalesce(F.xxhash64("text"), F.lit(0))  # tells rows with one id apart
@@ -264,3 +266,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+f AS (SELECT k, min(doc_id) AS source FROM g GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM g JOIN f USING (k) WHERE source < doc_id),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+r AS (SELECT x.doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN t END, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import shared_dir
+from gridloom.llm import textkernel
+from gridloom.llm.common import BROADCAST_KEYS, shared_dir, small_batches
 from gridloom.llm.eliasfano import EliasFano
 
 END_ID = 1
 #: Ids in a segment before it is closed.
 SEGMENT_IDS = 1 << 20
 #: Words that a worker remembers (about 200 bytes each); beyond it those not met of late are forgotten.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 SCHEMA = (
     "first_doc long, seq int, n_docs int, n_ids long, width int, doc_ids binary, ids binary, "
@@ -128,6 +129,9 @@ class WordEncoder:
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
+textkernel.MEMORIES.append(_ENCODERS.clear)
+
+
 def encoder(path: str, width: int) -> WordEncoder:
     """The process's encoder: a worker keeps its memory of words from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -152,6 +156,7 @@ def text_batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, l
 
 def segments(docs: DataFrame, path: str | None = None, end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Segment rows of all documents."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path()
     end = np.asarray([end_id], f"<u{width}").tobytes()
 
@@ -177,6 +182,7 @@ def segments(docs: DataFrame, path: str | None = None, end_id: int = END_ID, wid
                         ids, bodies, held, seq = [], [], 0, seq + 1
         if ids:
             yield close(ids, bodies, seq)
+        textkernel.release(keep=True)
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return rows_in.mapInArrow(rows, SCHEMA)
@@ -197,8 +203,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     starts = named.select("first_doc", "part", "seq", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(in_order), F.lit(0)))
     n_segments = starts.count()
     small = starts.select(F.col("part").alias("s_part"), F.col("seq").alias("s_seq"), "start")
-    from gridloom.llm.common import BROADCAST_KEYS
-
     small = F.broadcast(small) if n_segments <= BROADCAST_KEYS else small
     joined = named.join(small, (F.col("part") == F.col("s_part")) & (F.col("seq") == F.col("s_seq")))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import boosting, textkernel
-from gridloom.llm.common import fold_mod5
+from gridloom.llm.common import fold_mod5, small_batches
 from gridloom.llm.labelled import training_ids, training_texts
 
 THRESHOLD = 0.3
@@ -100,6 +100,8 @@ def all_statistics(text: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> boosting.Trees:
+    small_batches(docs.sparkSession)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = all_statistics(b["text"])
@@ -114,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> boosting.
 
 def score(docs: DataFrame, model: boosting.Trees) -> DataFrame:
     """doc_id and score of every document, in one pass over the texts."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkernel
-from gridloom.llm.common import fold_mod5
+from gridloom.llm.common import fold_mod5, small_batches
 from gridloom.llm.labelled import training_ids, training_texts
 
 THRESHOLD = 0.5
@@ -141,6 +141,7 @@ def _counted(texts: DataFrame, keep: np.ndarray | None) -> DataFrame:
                 toxic = np.bincount(at, y[a:stop][doc], len(t)).astype(np.int64)
                 both = np.bincount(at, minlength=len(t)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.uint64).view(np.int64)), pa.array(toxic), pa.array(both)], ["t", "toxic", "n"])
+        textkernel.release()
 
     return texts.select("y", "text").mapInArrow(rows, "t long, toxic long, n long").groupBy("t").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
@@ -156,6 +157,7 @@ def _ratio(a: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
+    small_batches(docs.sparkSession)
     ids = training_ids(labels, label)
     sizes = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     texts = training_texts(docs, ids)
@@ -195,23 +197,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id and score of every document, in one pass over the texts."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sent.value.probability(b["text"]))], ["doc_id", "score"])
+        textkernel.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: Machine) -> DataFrame:
     """The documents that are not toxic, all columns kept; rows are dropped where they are read."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(sent.value.probability(b.column(at)) < THRESHOLD))
+        textkernel.release()
 
     return docs.mapInArrow(rows, docs.schema)
 

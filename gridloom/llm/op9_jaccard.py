@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textkernel
-from gridloom.llm.common import BROADCAST_KEYS, materialize, semi_join_ids
+from gridloom.llm.common import BROADCAST_KEYS, materialize, semi_join_ids, small_batches
 from gridloom.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Entries in the table of frequent shingles at most, and documents from which on a shingle is frequent.
 FREQUENT_TABLE, FREQUENT = 500_000, 16
 #: Bytes of text over which a task counts shingles before it sends those met twice.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 #: What a scanned list entry costs, with the verification it may lead to, against a hashed subset.
 SCAN_COST = 8
 LARGEST_LIGHT = 20
@@ -99,6 +99,7 @@ def heads(docs: DataFrame) -> DataFrame:
                 k1, k2 = (_sums(textkernel.mix(grams + np.uint64(c)), bounds).view(np.int64) for c in (11, 12))
                 sketch = pa.ListArray.from_arrays(np.arange(0, (j - i) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(parities(grams, bounds).ravel()))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2), sketch], ["doc_id", "n", "k1", "k2", "sketch"])
+        textkernel.release()
 
     return docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
@@ -130,6 +131,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         if held:
             yield from counted(held)
+        textkernel.release()
 
     counts = docs.select("text").mapInArrow(rows, "t long, c int").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     got = counts.orderBy(F.desc("c"), "t").limit(FREQUENT_TABLE).toArrow()
@@ -190,6 +192,7 @@ def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray]) ->
                     [pa.array(np.concatenate(token).view(np.int64)), pa.array(ids[i + owner]), pa.array(n[owner].astype(np.int32)), pa.array(np.concatenate(small))],
                     ["token", "doc", "n", "small"],
                 )
+        textkernel.release()
 
     return docs.mapInArrow(rows, "token long, doc long, n int, small boolean")
 
@@ -219,6 +222,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 both = len(own & other)
                 keep[i] = both > 0 and 100 * both >= PERCENT * (len(own) + len(other) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        last, own = None, frozenset()
+        textkernel.release()
 
     return met.mapInArrow(rows, "a long, b long")
 
@@ -266,6 +271,7 @@ def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame) -> DataFrame
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = materialize(heads(rows), "heads")
     known = head.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "sketch")).alias("s")).select("doc_id", "s.*")
@@ -294,3 +300,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+both_ways AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, reach.r FROM reach JOIN both_ways b ON b.x = reach.v)
+SELECT v AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = v GROUP BY v
+"""

@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substrings": op2_substrings.ORACLE,
     "op4_mixing": op4_mixing.ORACLE,
+    "op9_jaccard": op9_jaccard.ORACLE,
+    "op10_decontam": op10_decontam.ORACLE,
 }

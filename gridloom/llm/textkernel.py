@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,27 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 
 #: Bytes of text handled at once: bounds the scratch arrays to some tens of MB.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: What a worker remembers from task to task, to be emptied when it turns to work of another kind.
+MEMORIES: list[Callable[[], None]] = []
+
+
+def release(keep: bool = False) -> None:
+    """At a task's end: empty memories (unless the next task is likely to need them) and give freed pages back.
+
+    Workers live on between stages; without this each keeps the largest size that any stage has needed.
+    """
+    if not keep:
+        for forget in MEMORIES:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

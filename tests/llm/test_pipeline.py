@@ -2,8 +2,9 @@ import corpus_pipeline
 from gridloom.llm import op3_tokens, op4_mixing, op7_toxicity, op9_jaccard, op10_decontam
 
 
-def test_stages(spark, sf_dir, tmp_path):
+def test_stages(spark, tmp_path):
     """Every stage takes effect on what its predecessor kept and keeps the columns; run() gives the last one's rows."""
+    sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, labels, bench = docs.columns, spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     seen = [docs]
