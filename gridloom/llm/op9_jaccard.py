@@ -1,6 +1,7 @@
 """N-gram Jaccard join: size-aware heavy-light set join, and the components of its links.
 
-A document's set holds its distinct shingles of 4 words. Two sets link when 100 * intersection >= 85 * union.
+A document's set holds its distinct shingles of `shingle` words. Two sets link when 100 * intersection >= `percent` *
+union. Both are arguments; the query takes 4 words and 85.
 
 Documents with equal sets collapse to the smallest id first. Light sets (small ones) list all their subsets that a
 linked partner could share, by hash: linked light sets have their intersection in common. Heavy sets list the rarest of
@@ -13,7 +14,7 @@ one component is done, and only members of different components still meet. So a
 costs about as many checks as it has members, and no link between different components is missed. Parity sketches rule
 out, without error, most candidates that share rare shingles and don't link. The rest are verified on the texts.
 
-Null text and texts without words: empty set, linked with nothing. Under 4 words: the whole sequence is the one shingle.
+Null text and texts without words: empty set, linked with nothing. Under `shingle` words: the whole sequence is the one shingle.
 Null doc_id: set size, no component. Rows that repeat a doc_id count as one document with the larger set. Very long
 texts: whole. Empty table: no rows. Extra columns are ignored.
 """
@@ -33,6 +34,7 @@ from gridloom.llm import textkernel
 from gridloom.llm.common import BROADCAST_KEYS, materialize, semi_join_ids, small_batches
 from gridloom.llm.components import components
 
+#: The query's shingle length and percentage, and the defaults.
 SHINGLE, PERCENT = 4, 85
 #: Entries in the table of frequent shingles at most, and documents from which on a shingle is frequent.
 FREQUENT_TABLE, FREQUENT = 500_000, 16
@@ -45,9 +47,9 @@ LARGEST_LIGHT = 20
 SKETCH = 8
 
 
-def need(n: int) -> int:
+def need(n: int, percent: int = PERCENT) -> int:
     """Fewest elements that a set of n shares with a linked set."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +70,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return grams[new], np.searchsorted(doc[new], np.arange(len(offsets)))
 
 
-def _sliced(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sliced(text: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = textkernel.buffers(text)
     for a, b in textkernel.slices(offsets):
-        yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -90,12 +92,12 @@ def parities(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def heads(docs: DataFrame) -> DataFrame:
+def heads(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (k1, k2) and its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, grams, bounds in _sliced(b["text"]):
+            for i, j, grams, bounds in _sliced(b["text"], shingle):
                 k1, k2 = (_sums(textkernel.mix(grams + np.uint64(c)), bounds).view(np.int64) for c in (11, 12))
                 sketch = pa.ListArray.from_arrays(np.arange(0, (j - i) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(parities(grams, bounds).ravel()))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2), sketch], ["doc_id", "n", "k1", "k2", "sketch"])
@@ -104,13 +106,13 @@ def heads(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def near_enough(n: Column, s: Column, other_n: Column, other_s: Column) -> Column:
+def near_enough(n: Column, s: Column, other_n: Column, other_s: Column, percent: int) -> Column:
     """False where the sketches prove that two sets don't link."""
     differ = sum(F.bit_count(F.get(s, k).bitwiseXOR(F.get(other_s, k))) for k in range(SKETCH))
-    return differ * (100 + PERCENT) <= (n + other_n) * (100 - PERCENT)
+    return differ * (100 + percent) <= (n + other_n) * (100 - percent)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and their counts, from all documents: a table of bounded size.
 
     A task counts over stretches of text and sends shingles that it met in two documents or more.
@@ -123,7 +125,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for _, _, grams, _ in _sliced(b["text"]):
+            for _, _, grams, _ in _sliced(b["text"], shingle):
                 held.append(grams)
                 size += len(grams) * 6
                 if size >= COUNT_BYTES:
@@ -140,29 +142,29 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t[order], c[order]
 
 
-def light_boundary(histogram: dict[int, int]) -> int:
+def light_boundary(histogram: dict[int, int], shingle: int, percent: int) -> int:
     """Largest light set size: the one at which hashed subsets plus scanned list entries cost least."""
 
     def subsets(n: int) -> int:
-        return sum(comb(n, r) for r in range(n - need(n) + 1))
+        return sum(comb(n, r) for r in range(n - need(n, percent) + 1))
 
     def cost(light: int) -> float:
-        hashed = sum(c * subsets(n) for n, c in histogram.items() if n <= light * 100 // PERCENT)
-        return hashed + sum(SCAN_COST * c * (n - need(n) + 1) for n, c in histogram.items() if n > light)
+        hashed = sum(c * subsets(n) for n, c in histogram.items() if n <= light * 100 // percent)
+        return hashed + sum(SCAN_COST * c * (n - need(n, percent) + 1) for n, c in histogram.items() if n > light)
 
-    return min(range(SHINGLE, LARGEST_LIGHT + 1), key=cost)
+    return min(range(shingle, LARGEST_LIGHT + 1), key=cost)
 
 
-def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
     """token, doc, n, small: entries of subsets and inverted lists. `small`: may be the smaller set of a pair."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    hashed = light * 100 // PERCENT  # the largest set that a light one can link with
+    hashed = light * 100 // percent  # the largest set that a light one can link with
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts = sent.value
         for b in batches:
             ids = b["doc_id"].to_numpy()
-            for i, _, grams, bounds in _sliced(b["text"]):
+            for i, _, grams, bounds in _sliced(b["text"], shingle):
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
                 rank = np.zeros(len(grams), np.int64)
@@ -173,17 +175,17 @@ def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray]) ->
                 order = np.lexsort((grams, rank, doc))
                 place = np.arange(len(grams)) - np.repeat(bounds[:-1], n)
                 size = n[doc]
-                probe = place <= size - -(-PERCENT * size // 100)
-                index = place <= size - -(-2 * PERCENT * size // (100 + PERCENT))
+                probe = place <= size - -(-percent * size // 100)
+                index = place <= size - -(-2 * percent * size // (100 + percent))
                 heavy = (size > light) & probe
                 token, owner, small = [grams[order][heavy]], [doc[heavy]], [index[heavy]]
-                few = np.flatnonzero((n > SHINGLE) & (n <= hashed))
+                few = np.flatnonzero((n * (100 - percent) >= percent) & (n <= hashed))  # smaller sets link with equal ones only
                 mixed = textkernel.mix(grams + np.uint64(13))
                 for d in few:
                     own = mixed[bounds[d] : bounds[d + 1]]
                     whole = own.sum(dtype=np.uint64)
                     with np.errstate(over="ignore"):  # hashes wrap
-                        keys = [whole - own[list(gone)].sum(dtype=np.uint64) for r in range(len(own) - need(len(own)) + 1) for gone in combinations(range(len(own)), r)]
+                        keys = [whole - own[list(gone)].sum(dtype=np.uint64) for r in range(len(own) - need(len(own), percent) + 1) for gone in combinations(range(len(own)), r)]
                     token.append(textkernel.mix(np.asarray(keys, np.uint64)))
                     owner.append(np.full(len(keys), d))
                     small.append(np.ones(len(keys), bool))
@@ -197,12 +199,12 @@ def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray]) ->
     return docs.mapInArrow(rows, "token long, doc long, n int, small boolean")
 
 
-def _shingles(text: bytes | None) -> frozenset:
+def _shingles(text: bytes | None, shingle: int) -> frozenset:
     words = (text or b"").lower().split()
-    return frozenset(tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))) if words else frozenset()
+    return frozenset(tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their texts. Only the texts of candidates are shuffled."""
     ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
     ids = materialize(ids, "candidates")
@@ -217,10 +219,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             ta, tb = batch["ta"].cast(pa.large_binary()), batch["tb"].cast(pa.large_binary())
             for i, b in enumerate(batch["b"].to_pylist()):
                 if b != last:
-                    last, own = b, _shingles(tb[i].as_py())
-                other = _shingles(ta[i].as_py())
+                    last, own = b, _shingles(tb[i].as_py(), shingle)
+                other = _shingles(ta[i].as_py(), shingle)
                 both = len(own & other)
-                keep[i] = both > 0 and 100 * both >= PERCENT * (len(own) + len(other) - both)
+                keep[i] = both > 0 and 100 * both >= percent * (len(own) + len(other) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
         last, own = None, frozenset()
         textkernel.release()
@@ -234,7 +236,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFr
     return out.withColumn(name, F.coalesce("__l", key)).drop("__l")
 
 
-def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame) -> DataFrame:
+def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, label for every document with a link; `entries`: token lists of documents with different sets."""
     first_sketch = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
     second_sketch = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
@@ -242,16 +244,16 @@ def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame) -> DataFrame
     lists = entries.groupBy("token").agg(first.alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1 AND hub IS NOT NULL")
     members = entries.join(lists.select("token", F.col("hub.n").alias("hub_n"), F.col("hub.doc").alias("hub")), "token").where("doc <> hub")
     members = materialize(members, "members")
-    fits = F.col("hub_n") * 100 >= F.col("n") * PERCENT
+    fits = F.col("hub_n") * 100 >= F.col("n") * percent
     meets = members.where(fits & (F.col("hub_n") <= F.col("n"))).groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).agg(F.first("n").alias("na"), F.first("hub_n").alias("nb"))
-    meets = meets.join(first_sketch, "a").join(second_sketch, "b").where(near_enough(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
+    meets = meets.join(first_sketch, "a").join(second_sketch, "b").where(near_enough(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent)).select("a", "b")
     meets = materialize(meets, "meets")
-    found = materialize(verify(meets.groupBy("a").agg(F.min("b").alias("b")), docs), "links")
+    found = materialize(verify(meets.groupBy("a").agg(F.min("b").alias("b")), docs, shingle, percent), "links")
     labels = components(found)
     more = _labelled(_labelled(meets, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
     tried = meets.groupBy("a").agg(F.min("b").alias("b"))
     more = materialize(more.join(tried, ["a", "b"], "left_anti").select("a", "b"), "meets-2")
-    found = found.union(materialize(verify(more, docs), "links"))
+    found = found.union(materialize(verify(more, docs, shingle, percent), "links"))
     labels = components(found)
     # What is left: members of one list, none of them its hub, that are still in different components.
     left = _labelled(members, labels, "doc", "label")
@@ -260,20 +262,20 @@ def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame) -> DataFrame
     left = materialize(left, "left")
     out = left.where("label <> hub_label").select("token", *[F.col(c).alias(f"{c}_o") for c in ("doc", "n", "small", "label", "sketch")])
     smaller = F.struct("n", "doc") < F.struct(F.col("n_o").alias("n"), F.col("doc_o").alias("doc"))
-    may = (F.col("label") != F.col("label_o")) & (F.least("n", "n_o") * 100 >= F.greatest("n", "n_o") * PERCENT) & F.when(smaller, F.col("small")).otherwise(F.col("small_o"))
-    may = may & near_enough(F.col("n"), F.col("sketch"), F.col("n_o"), F.col("sketch_o"))
+    may = (F.col("label") != F.col("label_o")) & (F.least("n", "n_o") * 100 >= F.greatest("n", "n_o") * percent) & F.when(smaller, F.col("small")).otherwise(F.col("small_o"))
+    may = may & near_enough(F.col("n"), F.col("sketch"), F.col("n_o"), F.col("sketch_o"), percent)
     rest = left.join(out, "token").where(may).select(F.greatest("doc", "doc_o").alias("a"), F.least("doc", "doc_o").alias("b")).distinct()
     turned = meets.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = materialize(rest.join(turned, ["a", "b"], "left_anti"), "meets-3")
-    found = found.union(materialize(verify(rest, docs), "links"))
+    found = found.union(materialize(verify(rest, docs, shingle, percent), "links"))
     return components(found)
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    head = materialize(heads(rows), "heads")
+    head = materialize(heads(rows, shingle), "heads")
     known = head.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "sketch")).alias("s")).select("doc_id", "s.*")
     same = materialize(
         known.join(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), ["n", "k1", "k2"]).select("doc_id", "rep", "n", "sketch"), "same-sets"
@@ -283,23 +285,23 @@ def join(docs: DataFrame) -> DataFrame:
     own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     own = semi_join_ids(own, copies, "doc_id", n_copies, "left_anti")
     histogram = {r["n"]: r["count"] for r in same.where("doc_id = rep").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
-    entries = materialize(listed(own, light_boundary(histogram), frequent(rows)), "entries")
+    entries = materialize(listed(own, light_boundary(histogram, shingle, percent), frequent(rows, shingle), shingle, percent), "entries")
     sketches = same.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch")
-    labels = links(rows.where("doc_id IS NOT NULL"), entries, sketches)
+    labels = links(rows.where("doc_id IS NOT NULL"), entries, sketches, shingle, percent)
     classes = _labelled(same, labels, "rep", "component_id").select("doc_id", "component_id")
     out = head.join(classes, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with the smallest id of their component, all columns kept; rows without an id are kept."""
-    gone = materialize(join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
+    gone = materialize(join(docs, shingle, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
     n = gone.count()
     return docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHINGLE, PERCENT)
 
 
 ORACLE = r"""

@@ -1,5 +1,8 @@
+import random
+
 import corpus_pipeline
 from gridloom.llm import op3_tokens, op4_mixing, op7_toxicity, op9_jaccard, op10_decontam
+from tests.llm.conftest import frame, passage
 
 
 def test_stages(spark, tmp_path):
@@ -30,3 +33,27 @@ def test_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def near_pairs(texts, k, percent):
+    """Pairs of ids, the larger first, whose k-word shingle sets have at least percent / 100 in common."""
+    cut = {d: t.split() for d, t in texts}
+    sets = {d: {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for d, w in cut.items()}
+    return {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark, sf_dir):
+    """Texts of 8 words up, each beside one copy with up to six words replaced: every likeness about the limit."""
+    rng = random.Random(3)
+    rows = []
+    for n in [8, 8, 9, 9, 10, 12, 14, 16, 20, 24, 28, 34, 40, 60, 80, 100, 100, 150]:
+        for changed in range(7):
+            base = passage(rng, n, 10**6).split()
+            at = rng.choice([0, n - changed, rng.randrange(n - changed + 1)])
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:at] + [f"z{i}" for i in range(changed)] + base[at + changed :]))]
+    words = passage(rng, 100, 10**6).split()
+    rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:40] + ["new"] * 6 + words[46:]))]
+    found = near_pairs(rows, 5, 80)
+    assert found - near_pairs(rows, 4, 85)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), sf_dir).collect()}
+    assert kept == {d for d, _ in rows} - {a for a, _ in found}
