@@ -4,6 +4,9 @@ A seed hashes the words at the ones of a fixed mask, so words at its zeros may d
 join those of every place of every document; for each diagonal with a hit document and item are compared word by word,
 and the hit stands if some window of 13 words (the whole item where shorter) agrees in at least 10.
 
+Two sets of masks: those of `COVER` leave no allowed pattern of changed words without a seed, so `leaks` and
+`decontaminate` find all that the rule accepts. The query's are fixed by its SQL and miss some patterns.
+
 Words: the lower-cased text, cut at white space and ASCII punctuation. The benchmark's seeds are broadcast in
 blocks of bounded size, so the search shuffles no document; a passage that a third of all documents share costs no more
 than its hits, which are counted by diagonal in their task before they are shuffled. Texts are read again for documents
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import BROADCAST_KEYS, let, materialize
 
-#: Masks of two runs of three ones, given by the second run's place: 1110111, 11100111 and 111000111.
-MASKS = (4, 5, 6)
+#: The query's masks, two runs of three ones given by the second run's place: 1110111, 11100111 and 111000111.
+RUN, MASKS = 3, (4, 5, 6)
+#: Two runs of two ones: 1111, 11011 and 1100011. Whatever words AGREE of WINDOW (or of a shorter item) allows to differ, one fits between them.
+COVER_RUN, COVER = 2, (2, 3, 5)
 #: Words of the window that is verified, and how many of them must agree.
 WINDOW, AGREE = 13, 10
 LEAST_ITEM_WORDS = 8
@@ -37,8 +42,8 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _GAP), ""), lambda w: F.xxhash64(w))
 
 
-def _span(mask: int) -> int:
-    return mask + 3
+def _span(mask: int, run: int) -> int:
+    return mask + run
 
 
 def _with_later(x: Column, y: Column, gap: int) -> Column:
@@ -47,18 +52,20 @@ def _with_later(x: Column, y: Column, gap: int) -> Column:
     return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(gap + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def seeds(w: Column) -> Column:
+def seeds(w: Column, run: int, masks: tuple[int, ...]) -> Column:
     """Seeds of all masks, one mask after another, at all their places; see `place_of`."""
     none = F.array().cast("array<bigint>")
-    runs = let(_with_later(w, w, 1), lambda pairs: _with_later(pairs, w, 2))
-    return F.when(F.size(w) < min(map(_span, MASKS)), none).otherwise(let(runs, lambda r: F.concat(*[_with_later(r, r, m) for m in MASKS])))
+    runs = _with_later(w, w, 1)
+    for k in range(2, run):
+        runs = let(runs, lambda r, k=k: _with_later(r, w, k))
+    return F.when(F.size(w) < min(_span(m, run) for m in masks), none).otherwise(let(runs, lambda r: F.concat(*[_with_later(r, r, m) for m in masks])))
 
 
-def place_of(index: Column, n_words: Column) -> Column:
+def place_of(index: Column, n_words: Column, run: int, masks: tuple[int, ...]) -> Column:
     """The place in the text of the seed at `index` of `seeds`."""
     out, before = index, F.lit(0)
-    for m in MASKS[:-1]:
-        before = before + F.greatest(n_words - _span(m) + 1, F.lit(0))
+    for m in masks[:-1]:
+        before = before + F.greatest(n_words - _span(m, run) + 1, F.lit(0))
         out = F.when(index >= before, index - before).otherwise(out)
     return out
 
@@ -75,20 +82,20 @@ def agreement(item: Column, doc: Column, shift: Column) -> Column:
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, run: int = COVER_RUN, masks: tuple[int, ...] = COVER) -> DataFrame:
     """doc_id, item_id, agree (most words in a window), place (of the item's first word in the document), n_hits."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= LEAST_ITEM_WORDS)
     n_seeds = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    blocks = max(1, -(-n_seeds * len(MASKS) // BLOCK_SEEDS))
-    places = docs.select("doc_id", word_hashes(F.col("text")).alias("doc")).select("doc_id", F.size("doc").alias("n"), seeds(F.col("doc")).alias("seeds"))
+    blocks = max(1, -(-n_seeds * len(masks) // BLOCK_SEEDS))
+    places = docs.select("doc_id", word_hashes(F.col("text")).alias("doc")).select("doc_id", F.size("doc").alias("n"), seeds(F.col("doc"), run, masks).alias("seeds"))
     # The outer form: for the inner one the planner adds a filter on the size, which computes all seeds once more.
     places = places.select("doc_id", "n", F.posexplode_outer("seeds").alias("at", "seed"))
     found = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        probe = block.select("item_id", F.size("item").alias("m"), F.posexplode(seeds(F.col("item"))).alias("item_at", "seed"))
+        probe = block.select("item_id", F.size("item").alias("m"), F.posexplode(seeds(F.col("item"), run, masks)).alias("item_at", "seed"))
         hits = places.join(F.broadcast(probe), "seed")
-        found.append(hits.select("doc_id", "item_id", (place_of(F.col("at"), F.col("n")) - place_of(F.col("item_at"), F.col("m"))).alias("shift")))
+        found.append(hits.select("doc_id", "item_id", (place_of(F.col("at"), F.col("n"), run, masks) - place_of(F.col("item_at"), F.col("m"), run, masks)).alias("shift")))
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x)
@@ -112,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+    return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")), RUN, MASKS)
 
 
 _CUT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), lambda x: x <> '')"

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -493,6 +494,26 @@ def test_decontamination_finds_substitutions(spark):
     assert got == {(i, i) for i in range(20)}
 
 
+def test_decontamination_finds_every_allowed_pattern(spark):
+    """All ways to change as many words as the rule lets differ, in items of 8 to 13 words: brute force by construction."""
+    rng = random.Random(8)
+    items, rows = [], []
+    for m in range(8, 14):
+        items.append((m, passage(rng, m, 10**6)))
+        for gone in itertools.combinations(range(m), m - math.ceil(m * 10 / 13)):
+            w = items[-1][1].split()
+            for k in gone:
+                w[k] = "changed"
+            rows.append((m * 1000 + len(rows), f"{passage(rng, 5, 10**6)} {' '.join(w)} {passage(rng, 5, 10**6)}"))
+        one_more = items[-1][1].split()
+        one_more[: m - math.ceil(m * 10 / 13) + 1] = ["changed"] * (m - math.ceil(m * 10 / 13) + 1)
+        rows.append((-m, " ".join(one_more)))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows)
+    want = {(d, d // 1000) for d, _ in rows if d > 0}
+    assert {(r["doc_id"], r["item_id"]) for r in op10_decontam.leaks(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in op10_decontam.decontaminate(docs, bench).collect()} == {-m for m in range(8, 14)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, passage(rng, 20)) for i in range(12)]
