@@ -558,5 +558,5 @@ def incidents(spark, sf_dir) -> DataFrame:
 
 @query()
 def pipeline_end_to_end(spark, sf_dir):
-    got = pipeline.cluster_rows(incidents(spark, sf_dir), LEGACY, map_size=6, iterations=300, silhouette_rows=1000)
+    got = pipeline.cluster_rows(incidents(spark, sf_dir), LEGACY, map_size=6, iterations=300)
     return got["rows"]

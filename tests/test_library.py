@@ -200,6 +200,17 @@ def test_search(spark):
     assert all(p["som_x"] == p["som_y"] == 20 for p, _ in zip(tune.grid(config.FULL_GRID), range(15)))
 
 
+def test_search_scores_all_rows_unless_asked(spark, monkeypatch):
+    """No sample without `max_rows`, whatever the row count; the argument reaches the silhouette."""
+    _, df = vectors(spark)
+    seen, whole = [], metrics.silhouette
+    monkeypatch.setattr(metrics, "silhouette", lambda rows, max_rows=None: seen.append(max_rows) or whole(rows, max_rows))
+    params = {"som_x": [3], "som_y": [3], "sigma": [0.8], "learning_rate": [0.3], "iterations": [50]}
+    tune.search(df, params, 1)
+    tune.search(df, params, 1, max_rows=7)
+    assert seen == [None, 7]
+
+
 def test_whole_analysis(spark, tmp_path):
     lines = ["DATA_OCORRENCIA;HORA_OCORRENCIA;LATITUDE;LONGITUDE;IDADE_PESSOA;UF;OBS"]
     lines += [f"2022-01-{i % 28 + 1:02d};{i % 24}:30;{i % 7}.5;{i % 5}.25;{i % 90};{'SP' if i % 2 else 'RJ'};n{i}" for i in range(120)]
