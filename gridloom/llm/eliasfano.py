@@ -8,7 +8,11 @@ import numpy as np
 
 #: A sampled place of every so many ones: where a select starts to count.
 SAMPLE = 256
+#: Low bits at most, so that a value's low bits lie within eight bytes wherever they start.
+MOST_LOW = 56
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Place of the k-th one of each byte value.
+_PLACE = np.array([([k for k in range(8) if i >> k & 1] + [0] * 8)[:8] for i in range(256)], np.uint8)
 
 
 @dataclass
@@ -27,7 +31,7 @@ class EliasFano:
         values = np.asarray(values, np.int64)
         n = len(values)
         universe = int(values[-1]) if n else 0
-        bits = max(0, (universe // n).bit_length() - 1) if n else 0
+        bits = min(MOST_LOW, max(0, (universe // n).bit_length() - 1)) if n else 0
         low = values & ((1 << bits) - 1)
         packed = np.packbits(((low[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
         ones = (values >> bits) + np.arange(n)
@@ -40,30 +44,28 @@ class EliasFano:
         return cls(n, universe, bits, packed, high.tobytes(), samples)
 
     def _lows(self, index: np.ndarray) -> np.ndarray:
+        """Low bits of the values at `index`, read where they lie."""
         if not self.low_bits:
             return np.zeros(len(index), np.int64)
-        flags = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")
-        return (flags[index[:, None] * self.low_bits + np.arange(self.low_bits)].astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        at = index * self.low_bits
+        raw = np.frombuffer(self.low, np.uint8)
+        window = raw[np.minimum((at >> 3)[:, None] + np.arange(8), len(raw) - 1)].view("<u8").ravel()
+        return ((window >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
-    def select(self, i: int) -> int:
-        """The i-th value: from the nearest sample, count ones byte by byte."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, ones = (int(x) for x in np.frombuffer(self.samples, "<i4", 2, (i // SAMPLE) * 8))
-        high = np.frombuffer(self.high, np.uint8)
-        while ones + int(_POP[high[at]]) <= i:
-            ones += int(_POP[high[at]])
-            at += 1
-        bits = np.flatnonzero(np.unpackbits(high[at : at + 1], bitorder="little"))
-        place = at * 8 + int(bits[i - ones])
-        low = 0
-        for k in range(self.low_bits):
-            p = i * self.low_bits + k
-            low |= ((self.low[p >> 3] >> (p & 7)) & 1) << k
-        return ((place - i) << self.low_bits) | low
-
-    def decode(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        index = np.arange(self.n)
-        return ((ones - index) << self.low_bits) | self._lows(index)
+    def select(self, first: int, last: int) -> np.ndarray:
+        """Values first to last - 1: from the nearest sample on, ones are counted byte by byte up to the last of them."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        samples = np.frombuffer(self.samples, "<i4").reshape(-1, 2).astype(np.int64)
+        begin, ones = samples[first // SAMPLE]
+        after = -(-last // SAMPLE)  # the first sampled one that is not asked for
+        stop = samples[after, 0] + 1 if after < len(samples) else None
+        high = np.frombuffer(self.high, np.uint8)[begin:stop]
+        upto = ones + np.cumsum(_POP[high], dtype=np.int64)
+        index = np.arange(first, last)
+        byte = np.searchsorted(upto, index, "right")
+        nth = index - (upto[byte] - _POP[high[byte]])
+        place = (begin + byte) * 8 + _PLACE[high[byte], nth]
+        return ((place - index) << self.low_bits) | self._lows(index)
