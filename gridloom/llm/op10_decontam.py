@@ -2,19 +2,21 @@
 
 A seed hashes the words at the ones of a fixed mask, so words at its zeros may differ. Seeds of the benchmark's items
 join those of every place of every document; for each diagonal with a hit document and item are compared word by word,
-and the hit stands if some window of 13 words (the whole item where shorter) agrees in at least 10.
+and the hit stands if some window of 13 words (the whole item where shorter) agrees in at least 10 (`need`). The masks
+leave no allowed pattern of changed words without a seed, so all that the rule accepts is found; the SQL states the rule
+without seeds.
 
-Two sets of masks: those of `COVER` leave no allowed pattern of changed words without a seed, so `leaks` and
-`decontaminate` find all that the rule accepts. The query's are fixed by its SQL and miss some patterns.
+Words: the lower-cased text, cut at white space and ASCII punctuation. Items of 4 to 7 words match where all their words
+follow each other in a document; items of fewer words match documents that have just these words.
 
-Words: the lower-cased text, cut at white space and ASCII punctuation. The benchmark's seeds are broadcast in
-blocks of bounded size, so the search shuffles no document; a passage that a third of all documents share costs no more
-than its hits, which are counted by diagonal in their task before they are shuffled. Texts are read again for documents
-with hits only.
+The benchmark's seeds are broadcast while there are at most BLOCK_SEEDS, so the search shuffles no document; a larger
+benchmark's seeds are joined by a shuffle, in the same one pass. A passage that a third of all documents share costs no
+more than its hits, which are counted by diagonal in their task before they are shuffled. Only texts of documents with
+hits are read again, and hashed once each.
 
-Null or empty texts: no words, no hits. Items under 8 words are too short to tell a leak and match nothing. Repeated
-rows share a doc_id and are reported once. Null doc_id or item_id: reported as null. Very long texts: whole, place by
-place. Empty tables: no rows. Extra columns are ignored, and kept by `decontaminate`.
+Null or empty texts: no words, no hits. Repeated rows share a doc_id and are reported once. Null doc_id or item_id:
+reported as null. Very long texts: whole, place by place. Empty tables: no rows. Extra columns are ignored, and kept by
+`decontaminate`.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import BROADCAST_KEYS, let, materialize
 
-#: The query's masks, two runs of three ones given by the second run's place: 1110111, 11100111 and 111000111.
-RUN, MASKS = 3, (4, 5, 6)
-#: Two runs of two ones: 1111, 11011 and 1100011. Whatever words AGREE of WINDOW (or of a shorter item) allows to differ, one fits between them.
-COVER_RUN, COVER = 2, (2, 3, 5)
+#: Masks of two runs of two ones, by the second run's place: 1111, 11011 and 1100011. Whatever words `need` lets differ, one fits between them.
+RUN, MASKS = 2, (2, 3, 5)
 #: Words of the window that is verified, and how many of them must agree.
 WINDOW, AGREE = 13, 10
-LEAST_ITEM_WORDS = 8
-#: Seeds in one broadcast (some tens of MB with their items' words); a larger benchmark takes several passes.
-BLOCK_SEEDS = 200_000
+#: Items of fewer words must agree in all of them.
+EXACT_BELOW = 8
+#: Items and documents of fewer words have one seed, of all their words.
+LEAST_SEEDED = 4
+#: Seeds in a broadcast at most (some tens of MB); those of a larger benchmark are shuffled.
+BLOCK_SEEDS = 500_000
 
 #: White space and ASCII punctuation: what separates words here.
 _GAP = r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"
@@ -52,16 +55,22 @@ def _with_later(x: Column, y: Column, gap: int) -> Column:
     return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(gap + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def seeds(w: Column, run: int, masks: tuple[int, ...]) -> Column:
+def seeds(w: Column, run: int = RUN, masks: tuple[int, ...] = MASKS) -> Column:
     """Seeds of all masks, one mask after another, at all their places; see `place_of`."""
     none = F.array().cast("array<bigint>")
     runs = _with_later(w, w, 1)
     for k in range(2, run):
         runs = let(runs, lambda r, k=k: _with_later(r, w, k))
-    return F.when(F.size(w) < min(_span(m, run) for m in masks), none).otherwise(let(runs, lambda r: F.concat(*[_with_later(r, r, m) for m in masks])))
+    spaced = let(runs, lambda r: F.concat(*[_with_later(r, r, m) for m in masks]))
+    return F.when(F.size(w) == 0, none).when(F.size(w) < LEAST_SEEDED, F.array(F.xxhash64(w))).otherwise(spaced)
 
 
-def place_of(index: Column, n_words: Column, run: int, masks: tuple[int, ...]) -> Column:
+def need(n: Column) -> Column:
+    """Words of an item of n words that must agree in a window of it."""
+    return F.when(n < EXACT_BELOW, n).otherwise(F.least(F.lit(AGREE), F.ceil(n * AGREE / WINDOW))).cast("int")
+
+
+def place_of(index: Column, n_words: Column, run: int = RUN, masks: tuple[int, ...] = MASKS) -> Column:
     """The place in the text of the seed at `index` of `seeds`."""
     out, before = index, F.lit(0)
     for m in masks[:-1]:
@@ -82,32 +91,25 @@ def agreement(item: Column, doc: Column, shift: Column) -> Column:
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, run: int = COVER_RUN, masks: tuple[int, ...] = COVER) -> DataFrame:
-    """doc_id, item_id, agree (most words in a window), place (of the item's first word in the document), n_hits."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= LEAST_ITEM_WORDS)
-    n_seeds = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    blocks = max(1, -(-n_seeds * len(masks) // BLOCK_SEEDS))
-    places = docs.select("doc_id", word_hashes(F.col("text")).alias("doc")).select("doc_id", F.size("doc").alias("n"), seeds(F.col("doc"), run, masks).alias("seeds"))
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, agree (most words in a window), place (of the item's first word in the document; the smallest)."""
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0)
+    n_seeds = (items.agg(F.sum(F.size("item"))).first()[0] or 0) * len(MASKS)
+    places = docs.select("doc_id", word_hashes(F.col("text")).alias("doc")).select("doc_id", F.size("doc").alias("n"), seeds(F.col("doc")).alias("seeds"))
     # The outer form: for the inner one the planner adds a filter on the size, which computes all seeds once more.
     places = places.select("doc_id", "n", F.posexplode_outer("seeds").alias("at", "seed"))
-    found = []
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        probe = block.select("item_id", F.size("item").alias("m"), F.posexplode(seeds(F.col("item"), run, masks)).alias("item_at", "seed"))
-        hits = places.join(F.broadcast(probe), "seed")
-        found.append(hits.select("doc_id", "item_id", (place_of(F.col("at"), F.col("n"), run, masks) - place_of(F.col("item_at"), F.col("m"), run, masks)).alias("shift")))
-    hits = found[0]
-    for x in found[1:]:
-        hits = hits.unionByName(x)
-    hits = materialize(hits.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_hits")), "seed-hits")
+    probe = items.select("item_id", F.size("item").alias("m"), F.posexplode(seeds(F.col("item"))).alias("item_at", "seed"))
+    hits = places.join(F.broadcast(probe) if n_seeds <= BLOCK_SEEDS else probe, "seed")
+    shift = place_of(F.col("at"), F.col("n")) - place_of(F.col("item_at"), F.col("m"))
+    hits = materialize(hits.select("doc_id", "item_id", shift.alias("shift")).distinct(), "seed-hits")
     few = hits.count() <= BROADCAST_KEYS
-    named = hits.withColumnsRenamed({"doc_id": "h_doc", "item_id": "h_item"})
-    texts = docs.select("doc_id", "text").join(F.broadcast(named) if few else named, F.col("doc_id").eqNullSafe(F.col("h_doc")))
-    met = texts.join(F.broadcast(items) if blocks == 1 else items, F.col("h_item").eqNullSafe(F.col("item_id")))
-    agree = let(word_hashes(F.col("text")), lambda doc: agreement(F.col("item"), doc, F.col("shift")))
-    met = met.select("doc_id", "item_id", "shift", "n_hits", F.size("item").alias("m"), agree.alias("agree"))
-    met = met.where(F.col("agree") >= F.least(F.lit(AGREE), F.ceil(F.col("m") * AGREE / WINDOW)))
-    return met.groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"), F.min("shift").alias("place"), F.sum("n_hits").alias("n_hits"))
+    small = F.broadcast if few else lambda x: x
+    ids = hits.select(F.col("doc_id").alias("h_id")).distinct()
+    hashed = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("h_id")), "left_semi").select("doc_id", word_hashes(F.col("text")).alias("doc"))
+    met = hashed.join(small(hits.withColumnsRenamed({"doc_id": "h_doc", "item_id": "h_item"})), F.col("doc_id").eqNullSafe(F.col("h_doc")))
+    met = met.join(F.broadcast(items) if n_seeds <= BLOCK_SEEDS else items, F.col("h_item").eqNullSafe(F.col("item_id")))
+    met = met.select("doc_id", "item_id", "shift", F.size("item").alias("m"), agreement(F.col("item"), F.col("doc"), F.col("shift")).alias("agree"))
+    return met.where(F.col("agree") >= need(F.col("m"))).groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"), F.min("shift").alias("place"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -119,21 +121,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")), RUN, MASKS)
+    return leaks(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
 
 
 _CUT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), lambda x: x <> '')"
-_SEEDS = "array_to_string(list_concat(w[p : p + 2], w[p + o : p + o + 2]), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - o - 1)) AS p FROM"
 
+#: The rule by itself: every diagonal on which enough words are equal, then its best window.
 ORACLE = f"""
-WITH m(o) AS (VALUES {", ".join(f"({o})" for o in MASKS)}),
-dw AS MATERIALIZED (SELECT doc_id, {_CUT} AS w FROM documents),
-iw AS MATERIALIZED (SELECT item_id, w FROM (SELECT item_id, {_CUT} AS w FROM benchmark) WHERE len(w) >= {LEAST_ITEM_WORDS}),
-ds AS (SELECT doc_id, o, p, {_SEEDS} dw, m)), si AS (SELECT item_id, o, p, {_SEEDS} iw, m)),
-h AS MATERIALIZED (SELECT doc_id, item_id, ds.p - si.p AS shift, count(*) AS n FROM ds JOIN si USING (o, k) GROUP BY 1, 2, 3),
-a AS (SELECT doc_id, item_id, shift, n, least(len(iw.w), {WINDOW}) AS width, len(iw.w) AS len,
-  list_transform(range(1, len(iw.w) + 1), lambda k: CASE WHEN k + shift >= 1 AND dw.w[k + shift] = iw.w[k] THEN 1 ELSE 0 END) AS same FROM h JOIN iw USING (item_id) JOIN dw USING (doc_id)),
-b AS (SELECT *, list_max(list_transform(range(1, len - width + 2), lambda s: list_sum(same[s : s + width - 1]))) AS agree FROM a)
-SELECT doc_id, item_id, max(agree)::INT AS agree, min(shift)::INT AS place, sum(n)::BIGINT AS n_hits FROM b
-WHERE agree >= least({AGREE}, ceil(len * {AGREE} / {WINDOW})) GROUP BY 1, 2
+WITH dw AS MATERIALIZED (SELECT doc_id, {_CUT} AS w FROM documents),
+iw AS MATERIALIZED (SELECT item_id, w, len(w) AS m, CASE WHEN len(w) < {EXACT_BELOW} THEN len(w) ELSE least({AGREE}, ceil(len(w) * {AGREE} / {WINDOW})) END AS need
+  FROM (SELECT item_id, {_CUT} AS w FROM benchmark) WHERE len(w) > 0),
+dp AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM dw),
+ip AS (SELECT item_id, need, m, unnest(w) AS t, generate_subscripts(w, 1) AS q FROM iw),
+h AS MATERIALIZED (SELECT doc_id, item_id, p - q AS shift FROM dp JOIN ip USING (t) WHERE m >= {LEAST_SEEDED} OR n = m GROUP BY 1, 2, 3 HAVING count(*) >= max(need)),
+a AS (SELECT doc_id, item_id, shift, need, least(m, {WINDOW}) AS width, m,
+  list_transform(range(1, m + 1), lambda k: CASE WHEN k + shift >= 1 AND dw.w[k + shift] = iw.w[k] THEN 1 ELSE 0 END) AS same FROM h JOIN iw USING (item_id) JOIN dw USING (doc_id)),
+b AS (SELECT *, list_max(list_transform(range(1, m - width + 2), lambda s: list_sum(same[s : s + width - 1]))) AS agree FROM a)
+SELECT doc_id, item_id, max(agree)::INT AS agree, min(shift)::INT AS place FROM b WHERE agree >= need GROUP BY 1, 2
 """
