@@ -5,8 +5,8 @@ share a term; a document has a term or not. Linear weights alone miss pairs such
 each term also has a factor vector and every pair of present terms adds the product of its vectors.
 
 The vocabulary is what separates labelled toxic documents from clean ones (likelihood ratio over a bounded sample of
-labelled rows outside the held-out fold); the machine is fitted on the driver on those few terms and its arrays, of
-fixed size, go to the tasks. Whole texts are scored where they are read: no text is shuffled.
+labelled rows outside the held-out fold, every term that LEAST_TOXIC of its toxic documents hold); the machine is fitted
+on the driver on the terms above LEAST_RATIO, and its arrays go to the tasks. Whole texts are scored where they are read: no text is shuffled.
 
 Null, empty and blank texts: no terms, the score is that of the bias. Null doc_id: scored; held_out is null. No usable
 labels: every score is the prior. Empty table: no rows. Extra columns are ignored, and kept by `reject`.
@@ -29,8 +29,8 @@ from gridloom.llm.labelled import training_ids, training_texts
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6, 7)
 FACTORS = 6
-#: Terms in the model at most, and terms of toxic documents that are weighed for it at most.
-MAX_TERMS, MAX_CANDIDATES = 2048, 60_000
+#: How often a toxic row counts in the fit: a missed one is the worse mistake.
+EMPHASIS = 5.0
 #: Toxic documents that a term must be in, and least likelihood ratio, to be in the model.
 LEAST_TOXIC, LEAST_RATIO = 4, 24.0
 
@@ -93,11 +93,12 @@ class Machine:
         return out
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, n_terms: int, epochs: int = 30, batch: int = 256, rate: float = 0.1, ridge: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on the logistic loss; rows are (sorted) arrays of terms."""
+def train(docs: list[np.ndarray], y: np.ndarray, n_terms: int, epochs: int = 30, batch: int = 256, rate: float = 0.1, ridge: float = 1e-4, emphasis: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """AdaGrad on the logistic loss; rows are (sorted) arrays of terms. A toxic row counts `emphasis` times."""
     rng = np.random.default_rng(7)
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
+    bias += float(np.log(emphasis)) if len(y) and y.min() < y.max() else 0.0
     w, v = np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, FACTORS))
     seen_b, seen_w, seen_v = 1e-6, np.full(n_terms, 1e-6), np.full((n_terms, FACTORS), 1e-6)
     if not n_terms or not len(y) or y.min() == y.max():
@@ -114,7 +115,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, n_terms: int, epochs: int = 30,
             squares = np.zeros(len(ids))
             np.add.at(squares, doc, (v[term] ** 2).sum(axis=1))
             raw = bias + np.bincount(doc, w[term], len(ids)) + 0.5 * ((total**2).sum(axis=1) - squares)
-            slope = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[ids]) / len(ids)
+            slope = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[ids]) * np.where(y[ids] > 0, emphasis, 1.0) / len(ids)
             gw = np.bincount(term, slope[doc], n_terms) + ridge * w
             gv = np.zeros_like(v)
             np.add.at(gv, term, slope[doc][:, None] * (total[doc] - v[term]))
@@ -164,16 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     toxic, total = sizes.get(1, 0), sum(sizes.values())
     vocabulary = np.zeros(0, np.uint64)
     if toxic and toxic < total:
-        first = _counted(texts.where("y = 1"), None).where(F.col("toxic") >= LEAST_TOXIC)
-        first = first.orderBy(F.desc("toxic"), "t").limit(MAX_CANDIDATES).toArrow()
+        first = _counted(texts.where("y = 1"), None).where(F.col("toxic") >= LEAST_TOXIC).toArrow()
         candidates = np.sort(first["t"].to_numpy().view(np.uint64))
         got = _counted(texts, candidates).toArrow()
         at, a, n = (got[c].to_numpy() for c in ("t", "toxic", "n"))
         order = np.argsort(at)
         at, a, n = at[order], a[order].astype(float), n[order].astype(float)
         ratio = np.where(a / toxic > n / total, _ratio(a, n, toxic, total), 0)
-        best = np.argsort(-ratio, kind="stable")[:MAX_TERMS]
-        vocabulary = np.sort(candidates[at[best[ratio[best] >= LEAST_RATIO]]])
+        vocabulary = np.sort(candidates[at[ratio >= LEAST_RATIO]])
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
         y = got["y"].to_numpy().astype(float)
     else:
         x, y = [np.zeros(0, np.int64)] * total, np.array([1.0] * toxic + [0.0] * (total - toxic))
-    return Machine(vocabulary, *train(x, y, len(vocabulary)))
+    return Machine(vocabulary, *train(x, y, len(vocabulary), emphasis=EMPHASIS))
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:

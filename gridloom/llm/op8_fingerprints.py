@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import BROADCAST_KEYS, let, words
+from gridloom.llm.common import BROADCAST_KEYS, id_buckets, let, words
 
 WORDS = 5
 #: Points on the ring: 2 ** POINT_BITS values in a signature.
 POINT_BITS = 6
 POINTS = 1 << POINT_BITS
-#: Runs of ids found by quantiles, and documents that a bucket of consecutive ids should hold at most.
-COARSE, BUCKET_ROWS = 256, 50_000
+#: Bytes in a bucket of consecutive ids, about; what a row counts beside its text; buckets at least.
+BUCKET_BYTES, ROW_BYTES, LEAST_BUCKETS = 8 << 20, 500, 64
 
 
 def _kmers(w: Column) -> Column:
@@ -102,22 +102,14 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document with the text and signature of the next by doc_id (`next_text`, `next_sig`); the last has the first.
 
-    Ids are cut into buckets of consecutive ids; a bucket also gets the first document of the next one, so one shuffle
-    by bucket is enough and no task holds more than a bucket.
+    Ids are cut into buckets of consecutive ids, about BUCKET_BYTES each whatever the corpus; a bucket also gets the first
+    document of the next one, so one shuffle by bucket is enough and no task holds more than a bucket. Rows that share
+    one doc_id, or have none, lie in one bucket.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("d"))
-    stats = rows.agg(F.count(F.lit(1)), F.percentile_approx("d", [i / COARSE for i in range(1, COARSE)], 20 * COARSE)).first()
-    cuts = sorted(set(stats[1] or []))
-    fine = max(1, -(-stats[0] // (COARSE * BUCKET_ROWS)))
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    coarse = F.size(F.filter(edges, lambda c: c <= F.col("d")))
-    if fine > 1:
-        big = "decimal(20,0)"
-        lo, hi = F.get(edges, F.col("coarse") - 1), F.get(edges, F.col("coarse"))
-        part = F.floor((F.col("d").cast(big) - lo.cast(big)) * fine / (hi.cast(big) - lo.cast(big) + 1)).cast("int")
-        keyed = rows.withColumn("coarse", coarse).withColumn("bucket", F.col("coarse") * fine + F.coalesce(part, F.lit(0)))
-    else:
-        keyed = rows.withColumn("bucket", coarse)
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
+    keyed = id_buckets(rows, "d", buckets)
     firsts = keyed.select("bucket", "d").groupBy("bucket").agg(F.min("d").alias("first_d"))
     order = Window.orderBy("bucket")
     ring = firsts.select(
@@ -125,7 +117,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         "first_d",
         F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"),
     )
-    ring = F.broadcast(ring) if COARSE * fine <= BROADCAST_KEYS else ring
+    ring = F.broadcast(ring) if buckets <= BROADCAST_KEYS else ring
     own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("before").alias("b"), F.lit(1).alias("guest"))
     sent = (

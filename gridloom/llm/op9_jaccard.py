@@ -6,8 +6,9 @@ union. Both are arguments; the query takes 4 words and 85.
 Documents with equal sets collapse to the smallest id first. Light sets (small ones) list all their subsets that a
 linked partner could share, by hash: linked light sets have their intersection in common. Heavy sets list the rarest of
 their shingles, enough of them that linked sets share one (an inverted list for each shingle is then scanned). Where
-light ends is chosen by cost from the histogram of set sizes. Rarity comes from counts over all documents; a bounded
-table of the most frequent shingles moves those to the end of the order.
+light ends is chosen by cost from the histogram of set sizes. Rarity comes from counts over all documents: a bounded
+table of shingles that are frequent somewhere, and counters of all shingles by hash, which show those that are rare in
+every stretch of text but frequent in all. Any order of shingles gives the same links; this one keeps lists short.
 
 Candidates are never all pairs of a list: in each list all members meet the list's smallest set; what that leaves in
 one component is done, and only members of different components still meet. So a group of thousands of near copies
@@ -26,7 +27,9 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,12 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT_TABLE, FREQUENT = 500_000, 16
 #: Bytes of text over which a task counts shingles before it sends those met twice.
 COUNT_BYTES = 8 << 20
+#: Counters of all shingles by hash.
+COUNTERS = 1 << 18
+#: Rows of counters that are added up at once, about.
+FAN_IN = 16
+#: Rows of one key (equal sets) are met in so many parts.
+SALTS = 64
 #: What a scanned list entry costs, with the verification it may lead to, against a hashed subset.
 SCAN_COST = 8
 LARGEST_LIGHT = 20
@@ -112,34 +121,60 @@ def near_enough(n: Column, s: Column, other_n: Column, other_s: Column, percent:
     return differ * (100 + percent) <= (n + other_n) * (100 - percent)
 
 
-def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts, from all documents: a table of bounded size.
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent shingles (sorted) and their counts, and for each of COUNTERS hash values by how much the count of all its
+    shingles exceeds twice the mean; from all documents, in arrays of bounded size.
 
-    A task counts over stretches of text and sends shingles that it met in two documents or more.
+    A task counts over stretches of text and sends shingles that it met in two documents or more; each task sends one row
+    of counters.
     """
 
-    def counted(grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, n = np.unique(np.concatenate(grams), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(t[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int32))], ["t", "c"])
+    def counted(grams: np.ndarray, into: np.ndarray) -> pa.RecordBatch:
+        into += np.bincount((grams >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64), minlength=COUNTERS)
+        t, n = np.unique(grams, return_counts=True)
+        t, n = t[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(len(t), pa.binary())], ["t", "c", "counters"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, into = [], 0, np.zeros(COUNTERS, np.int64)
         for b in batches:
             for _, _, grams, _ in _sliced(b["text"], shingle):
                 held.append(grams)
                 size += len(grams) * 6
                 if size >= COUNT_BYTES:
-                    yield from counted(held)
+                    yield counted(np.concatenate(held), into)
                     held, size = [], 0
         if held:
-            yield from counted(held)
+            yield counted(np.concatenate(held), into)
+        if into.any():
+            body = zstandard.ZstdCompressor(1).compress(into.view(np.uint8).reshape(-1, 8).T.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([body], pa.binary())], ["t", "c", "counters"])
         textkernel.release()
 
-    counts = docs.select("text").mapInArrow(rows, "t long, c int").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    got = counts.orderBy(F.desc("c"), "t").limit(FREQUENT_TABLE).toArrow()
-    t, c = got["t"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    got = materialize(docs.select("text").mapInArrow(rows, "t long, c int, counters binary"), "shingle-counts")
+    counts = got.where("t IS NOT NULL").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    table = counts.orderBy(F.desc("c"), "t").limit(FREQUENT_TABLE).toArrow()
+    t, c = table["t"].to_numpy().view(np.uint64), table["c"].to_numpy()
     order = np.argsort(t)
-    return t[order], c[order]
+    total = _added(got.where("counters IS NOT NULL").select("counters"))
+    return t[order], c[order], np.maximum(total - 2 * int(total.mean()), 0)
+
+
+def _added(blobs: DataFrame) -> np.ndarray:
+    """Sum of rows of counters, a few at a time in tasks before the driver adds up what is left."""
+
+    def unpacked(body: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(unpacked(b) for b in pdf["counters"])
+        return pd.DataFrame({"counters": [zstandard.ZstdCompressor(1).compress(total.view(np.uint8).reshape(-1, 8).T.tobytes())]})
+
+    n = blobs.count()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        blobs = materialize(blobs.groupBy(F.pmod(F.xxhash64("counters"), F.lit(n))).applyInPandas(add, "counters binary"), "shingle-counters")
+    return sum((unpacked(r["counters"]) for r in blobs.collect()), np.zeros(COUNTERS, np.int64))
 
 
 def light_boundary(histogram: dict[int, int], shingle: int, percent: int) -> int:
@@ -155,23 +190,23 @@ def light_boundary(histogram: dict[int, int], shingle: int, percent: int) -> int
     return min(range(shingle, LARGEST_LIGHT + 1), key=cost)
 
 
-def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
+def listed(docs: DataFrame, light: int, table: tuple[np.ndarray, np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
     """token, doc, n, small: entries of subsets and inverted lists. `small`: may be the smaller set of a pair."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
     hashed = light * 100 // percent  # the largest set that a light one can link with
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = sent.value
+        terms, counts, counters = sent.value
         for b in batches:
             ids = b["doc_id"].to_numpy()
             for i, _, grams, bounds in _sliced(b["text"], shingle):
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
-                rank = np.zeros(len(grams), np.int64)
+                rank = counters[(grams >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)]
                 if len(terms) and len(grams):
                     at = np.minimum(np.searchsorted(terms, grams), len(terms) - 1)
                     known = terms[at] == grams
-                    rank[known] = counts[at[known]]
+                    rank[known] = np.maximum(rank[known], counts[at[known]])
                 order = np.lexsort((grams, rank, doc))
                 place = np.arange(len(grams)) - np.repeat(bounds[:-1], n)
                 size = n[doc]
@@ -271,15 +306,21 @@ def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame, shingle: int
     return components(found)
 
 
+def with_smallest(known: DataFrame) -> DataFrame:
+    """`known` with the smallest doc_id of its set (`rep`). Copies are met in SALTS parts, so that no task gets a whole group."""
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = salted.groupBy("n", "k1", "k2", "salt").agg(F.min("doc_id").alias("rep"))
+    whole = parts.groupBy("n", "k1", "k2").agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salts"))  # SALTS at most
+    return salted.join(whole.withColumn("salt", F.explode("salts")).drop("salts"), ["n", "k1", "k2", "salt"])
+
+
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     head = materialize(heads(rows, shingle), "heads")
     known = head.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "sketch")).alias("s")).select("doc_id", "s.*")
-    same = materialize(
-        known.join(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), ["n", "k1", "k2"]).select("doc_id", "rep", "n", "sketch"), "same-sets"
-    )
+    same = materialize(with_smallest(known).select("doc_id", "rep", "n", "sketch"), "same-sets")
     copies = same.where("doc_id <> rep").select("doc_id")
     n_copies = copies.count()
     own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")

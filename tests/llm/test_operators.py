@@ -376,13 +376,15 @@ def auc(score, y):
     return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(op6_quality, "quality", 0.97), (op7_toxicity, "toxic", 0.75)])
-def test_classifiers(spark, module, label, least):
-    path = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("module", "label", "least", "recall"), [(op6_quality, "quality", 0.99, 0.97), (op7_toxicity, "toxic", 0.95, 0.88)])
+def test_classifiers(spark, module, label, least, recall):
+    """Held-out labels: how scores rank, and what the thresholds catch and leave alone."""
+    path = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in module.query(spark, path).collect()}
     labels = [r for r in spark.read.parquet(f"{path}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
-    y, s = np.array([r[label] for r in labels]), np.array([got[r["doc_id"]]["score"] for r in labels])
-    assert len(got) == 1000 and auc(s, y) >= least and all(0 <= r["score"] <= 1 for r in got.values())
+    y, s, p = np.array([r[label] for r in labels]), *(np.array([got[r["doc_id"]][c] for r in labels]) for c in ("score", "predicted"))
+    assert len(got) == 10000 and auc(s, y) >= least and all(0 <= r["score"] <= 1 for r in got.values())
+    assert (p == (s >= module.THRESHOLD)).all() and p[y == 1].mean() >= recall and 1 - p[y == 0].mean() >= 0.97
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
 
 
@@ -404,13 +406,46 @@ def test_boosting_learns_an_interaction():
 
 
 def test_machine_learns_a_pair():
+    """Exclusive or of two terms, which no sum of weights separates."""
     rng = np.random.default_rng(0)
-    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(2000)]
-    y = np.array([float((0 in r) and (1 in r)) for r in rows])
-    bias, w, v = op7_toxicity.train(rows, y, 6)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
+    y = np.array([float((0 in r) != (1 in r)) for r in rows])
+    bias, w, v = op7_toxicity.train(rows, y, 6, epochs=60)
     m = op7_toxicity.Machine(np.arange(6, dtype=np.uint64), bias, w, v)
-    raw = m.raw(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows), len(rows))
+    doc, term = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    raw = m.raw(doc, term, len(rows))
     assert ((raw > 0) == (y == 1)).mean() > 0.97
+    m.factor = v * 0
+    assert ((m.raw(doc, term, len(rows)) > 0) == (y == 1)).mean() < 0.8  # three of the four cases
+    plain = [bias + sum(w[i] for i in r) + sum(float(v[i] @ v[j]) for i, j in itertools.combinations(r, 2)) for r in rows[:50]]
+    assert raw[:50] == pytest.approx(plain)
+
+
+def test_trees_and_statistics_by_plain_loops():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4))
+    t = boosting.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=10)
+
+    def walk(row):
+        total = t.bias
+        for f, b, leaf in zip(t.feature, t.bound, t.leaf):
+            i = 0
+            while i < len(f):
+                i = 2 * i + 1 + int(row[f[i]] > b[i])
+            total += leaf[i - len(f)]
+        return 1 / (1 + math.exp(-total))
+
+    assert t.probability(x) == pytest.approx([walk(r) for r in x])
+    text = "One two, two three.\nFour | four four!\nOne two, two three.\n"
+    got = dict(zip(op6_quality.STATISTICS, op6_quality.all_statistics(pa.array([text, None, "a"]))[0]))
+    w, lines, n = words(text), text.split("\n")[:-1], len(text)
+    want = {
+        "log_words": math.log1p(len(w)), "word_bytes": sum(map(len, w)) / len(w), "lower": sum(c.islower() for c in text) / n, "upper": sum(c.isupper() for c in text) / n,
+        "space": text.count(" ") / n, "newline": 3 / n, "bang": 1 / n, "pipe": 1 / n, "distinct_words": len(set(w)) / len(w), "top_word": max(collections.Counter(w).values()) / len(w),
+        "distinct_pairs": len(set(zip(w, w[1:]))) / (len(w) - 1), "same_as_last": sum(a == b for a, b in zip(w, w[1:])) / len(w), "lines": math.log1p(len(lines)),
+        "distinct_lines": len(set(lines)) / len(lines), "line_words": len(w) / len(lines), "bare_words": 1 / len(w), "longest_word": math.log1p(6), "log_bytes": math.log1p(n),
+    }
+    assert {k: got[k] for k in want} == pytest.approx(want)
 
 
 def test_reject_keeps_columns(spark, odd):
@@ -434,6 +469,41 @@ def test_fingerprints(spark, sf_dir, texts):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.05 > np.mean([r["near_next"] for r in got.values()])
 
 
+def test_fingerprints_by_brute_force(spark):
+    """Signatures from their definition, with loops; only the hash function is Spark's."""
+    rng = random.Random(4)
+    own = ["", "one two", passage(rng, 5), passage(rng, 9), "the cat " * 30, passage(rng, 40, 12), passage(rng, 300), passage(rng, 700, 30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(own)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", op8_fingerprints.signature(F.col("t"))).collect()}
+    hashed = lambda *x: spark.range(1).select(F.xxhash64(*[F.lit(v).cast("bigint") if isinstance(v, int) else F.lit(v) for v in x])).first()[0]
+    pairs_of = {}
+    for i, t in enumerate(own):
+        w = words(t)
+        if not w:
+            assert got[i] == [0] * 64
+            continue
+        rows = spark.createDataFrame([(k, w[k : k + 5]) for k in range(max(1, len(w) - 4))], "k int, w array<string>")
+        whole = len(w) < 5
+        key = F.xxhash64("w") if whole else F.xxhash64(*[F.xxhash64(F.get("w", F.lit(j))) for j in range(5)])
+        grams = sorted((r[1], r[0]) for r in rows.select("k", key).collect())
+        seen, numbered = collections.Counter(), []
+        again = [(h, seen[h], seen.update([h])) for h, _ in grams]
+        later = [(h, n) for h, n, _ in again if n]
+        table = {}
+        if later:
+            df2 = spark.createDataFrame(later, "h long, n int")
+            table = {(r[0], r[1]): r[2] for r in df2.select("h", "n", F.xxhash64("h", "n")).collect()}
+        numbered = sorted((table.get((h, n), h), p) for (h, p), (_, n, _) in zip(grams, again))
+        chosen = []
+        for point in range(64):
+            start = next((j for j, (h, _) in enumerate(numbered) if (h >> 58) + 32 >= point), 0)
+            x, y = numbered[start], numbered[(start + 1) % len(numbered)]
+            chosen.append((x[0],) if len(numbered) == 1 else (x[0], y[0]) if x[1] < y[1] else (y[0], x[0]))
+        for c in set(chosen):
+            pairs_of.setdefault(c, hashed(*c))
+        assert got[i] == [pairs_of[c] >> 32 for c in chosen], i
+
+
 def likeness(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     return df.select(op8_fingerprints.likeness(op8_fingerprints.signature(F.col("a")), op8_fingerprints.signature(F.col("b")))).first()[0]
