@@ -32,10 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folders of tables that operators wrote for themselves, in order.
+_WRITTEN: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, which `discard` may delete."""
+    _WRITTEN.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written() -> int:
+    """How many such folders there are: where a later `discard` starts."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written since then, but the last `keep`. What was read from them must have been used up.
+
+    A result that is not written out yet still reads them; so operators leave this to their callers.
+    """
+    stop = len(_WRITTEN) - keep
+    for path in _WRITTEN[since:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[since:stop]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder as Parquet and read it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import materialize
+from gridloom.llm.common import fresh, materialize
 
 SHARDS = 16
 #: Rows that one slice (the unit of the exchange and of the slot count) should hold at most.
@@ -142,12 +142,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents by shard (`shard=<n>/`), in slot order; rows that share a doc_id and text share a shard."""
-    places = assign(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    places = places.groupBy("__id", "__crc").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    same = docs["doc_id"].eqNullSafe(places["__id"]) & F.crc32(docs["text"].cast("binary")).eqNullSafe(places["__crc"])
-    out = docs.join(places, same).drop("__id", "__crc")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write whole documents by shard (`shard=<n>/`), in slot order; rows that share a doc_id and text share a shard.
+
+    Where `docs` has a column `shard`, that of the folders has underscores behind its name.
+    """
+    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
+    places = assign(docs, shards).groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("place"))
+    places = places.select(F.struct("doc_id", "text_crc32").alias(fresh(docs, "key")), F.col("place.shard").alias(shard), F.col("place.slot").alias(slot))
+    key = places[places.columns[0]]
+    same = docs["doc_id"].eqNullSafe(key["doc_id"]) & F.crc32(docs["text"].cast("binary")).eqNullSafe(key["text_crc32"])
+    out = docs.join(places, same).drop(key)
+    out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

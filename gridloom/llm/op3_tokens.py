@@ -17,7 +17,6 @@ Very long texts: encoded whole, a segment of their own. Extra columns are ignore
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.llm import textkernel
-from gridloom.llm.common import BROADCAST_KEYS, shared_dir, small_batches
+from gridloom.llm.common import BROADCAST_KEYS, scratch, small_batches
 from gridloom.llm.eliasfano import SAMPLE, EliasFano
 
 END_ID = 1
@@ -346,7 +345,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-ids")
     write(docs, path, tokenizer, end_id)
     return read(spark, path)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import WORD, materialize
+from gridloom.llm.common import WORD, fresh, materialize
 
 WEIGHTS = (3, 1, 2)
 HASH_BITS = 60
@@ -131,14 +131,14 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2) -> DataFrame:
     """The mixed table: each document as many times as the mix takes it, with the columns of `docs`. No text is shuffled."""
-    names = docs.columns
     spark = docs.sparkSession
     plan = plan_mix(docs, weights, share, most).groupBy("source").agg(F.first("whole").alias("whole"), F.first("bound").alias("bound"))
-    schema = T.StructType([T.StructField("__source", T.StringType()), T.StructField("__whole", T.IntegerType()), T.StructField("__bound", T.LongType())])
-    small = spark.createDataFrame([tuple(r) for r in plan.collect()], schema)
-    times = F.least(F.col("__whole") + (doc_hash(F.col("doc_id")) < F.col("__bound")).cast("int"), F.lit(most))
-    out = docs.join(F.broadcast(small), docs["source"].eqNullSafe(small["__source"]))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in names])
+    name = fresh(docs, "plan")
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("whole", T.IntegerType()), T.StructField("bound", T.LongType())])
+    small = spark.createDataFrame([(tuple(r),) for r in plan.collect()], T.StructType([T.StructField(name, schema)]))
+    times = F.least(F.col(f"{name}.whole") + (doc_hash(F.col("doc_id")) < F.col(f"{name}.bound")).cast("int"), F.lit(most))
+    out = docs.join(F.broadcast(small), docs["source"].eqNullSafe(F.col(f"{name}.source")))
+    return out.withColumn(name, F.explode(F.array_repeat(F.lit(0), times))).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

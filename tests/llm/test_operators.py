@@ -73,6 +73,19 @@ def test_sharding_odd_rows(odd, none, odd_rows):
     assert op1_sharding.assign(none).count() == 0
 
 
+def test_write_shards(spark, odd, none, odd_rows, tmp_path):
+    """Columns of the same names as those used inside stay as they are."""
+    clash = odd.withColumn("key", F.lit("k")).withColumn("__id", F.lit("i")).withColumn("__crc", F.lit(7)).withColumn("slot", F.lit(8))
+    op1_sharding.write_shards(clash, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.columns == [*clash.columns, "shard_"]
+    plain = lambda df: sorted((tuple(r[c] for c in clash.columns) for r in df.collect()), key=repr)
+    assert plain(back) == plain(clash) and len(plain(clash)) == len(odd_rows)
+    want = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in op1_sharding.assign(odd, 4).orderBy(F.desc("shard")).collect()}
+    assert all(want[r["doc_id"], None if r["text"] is None else zlib.crc32(r["text"].encode())] == r["shard_"] for r in back.collect())
+    op1_sharding.write_shards(none, str(tmp_path / "none"))
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -226,7 +239,10 @@ def test_mixing_odd_rows(odd, none, odd_rows):
     rows = op4_mixing.plan_mix(odd).collect()
     assert len(rows) == len(odd_rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     assert op4_mixing.plan_mix(none).count() == 0 == op4_mixing.mix(none).count()
-    assert op4_mixing.mix(odd).columns == odd.columns
+    clash = odd.withColumn("__copy", F.lit("c")).withColumn("plan", F.lit("p")).withColumn("__source", F.lit("s"))
+    mixed = op4_mixing.mix(clash)
+    assert mixed.columns == clash.columns and {(r["__copy"], r["plan"], r["__source"]) for r in mixed.collect()} == {("c", "p", "s")}
+    assert mixed.count() == sum(r["times"] for r in rows)
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------------

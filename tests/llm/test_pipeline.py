@@ -19,7 +19,7 @@ def test_stages(spark, tmp_path):
 
     scores = op7_toxicity.score(docs, op7_toxicity.fit(docs, labels)).collect()
     assert ids[1] == sorted(r["doc_id"] for r in scores if r["score"] < 0.5) != ids[0]
-    classes = op9_jaccard.join(seen[1]).collect()
+    classes = op9_jaccard.join(seen[1], 5, 80).collect()
     assert ids[2] == sorted(r["doc_id"] for r in classes if r["component_id"] == r["doc_id"]) != ids[1]
     leaked = {r["doc_id"] for r in op10_decontam.leaks(seen[2], bench).collect()}
     assert ids[3] == [i for i in ids[2] if i not in leaked] != ids[2]
