@@ -1,7 +1,8 @@
 """The corpus pipeline: stages applied one after another to the documents table.
 
 Each stage works on all rows that its predecessor kept and returns the columns of `documents`; the last writes token-ID
-files and returns what they hold. Rows that share a doc_id share a decision.
+files and returns what they hold. Rows that share a doc_id share a decision. Null and empty texts, null ids and extra
+columns pass as each operator's docstring says; empty tables give empty results; texts are taken whole at every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import op3_tokens, op4_mixing, op7_toxicity, op9_jaccard, op10_decontam
-from gridloom.llm.common import shared_dir
+from gridloom.llm.common import discard, shared_dir, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name.replace(' / ', '-').replace(' ', '-')}"
+        path, before = f"{base}/{k}-{name.replace(' / ', '-').replace(' ', '-')}", written()
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, before)  # what the stage wrote for itself
         docs = spark.read.parquet(path)
     return docs

@@ -11,13 +11,21 @@ _BITS = 12
 def exact_rows(df: DataFrame, k: int, seed: int, key: str = "_row_id") -> DataFrame:
     """The k rows of smallest (hash of key and seed, key); `key` is unique and not null.
 
-    Counts by hash bucket find the k-th hash; only the bucket that holds it is counted again. Nothing is sorted and only
+    Keys and hashes are read once and kept while they are counted. Counts by hash bucket find the k-th hash; only the bucket that holds it is counted again. Nothing is sorted and only
     counts reach the driver.
     """
     if k <= 0:
         return df.limit(0)
     h = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 1)
-    part, shift, before = df.select(F.col(key).alias("k"), h.alias("h")), 63, 0
+    keys = df.select(F.col(key).alias("k"), h.alias("h")).persist()
+    try:
+        return _smallest(df, keys, h, key, k)
+    finally:
+        keys.unpersist()
+
+
+def _smallest(df: DataFrame, part: DataFrame, h, key: str, k: int) -> DataFrame:
+    shift, before = 63, 0
     while shift:
         shift = max(0, shift - _BITS)
         counts = sorted(tuple(r) for r in part.groupBy(F.shiftright("h", shift).alias("b")).count().collect())

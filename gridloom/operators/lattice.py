@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.config import CANONICAL, Profile
 from gridloom.operators.som import SomModel, bmu
@@ -80,19 +79,21 @@ def dense(hits: DataFrame, threshold: float) -> DataFrame:
 def components(mask: DataFrame, y: int) -> DataFrame:
     """(i, j, cluster): 4-connected components of the cells, numbered from 1 by their first cell in raster order.
 
-    Labels spread to neighbours until none changes: as many rounds as a component is long, each over the grid alone.
+    A grid has some thousands of cells at most, so its cells are walked through on the driver.
     """
     spark = mask.sparkSession
     schema = "i int, j int, label int"
-    cells = {(r["i"], r["j"]) for r in mask.select("i", "j").collect()}  # a grid's cells: bounded by the codebook
-    labels = spark.createDataFrame([(i, j, i * y + j) for i, j in sorted(cells)], schema)
-    while True:
-        heard = _moved(labels, _FOUR, "label").groupBy(F.col("ni").alias("i"), F.col("nj").alias("j")).agg(F.min("label").alias("heard"))
-        got = labels.join(F.broadcast(heard), ["i", "j"], "left").select("i", "j", "label", F.least("label", F.coalesce("heard", "label")).alias("new")).collect()
-        labels = spark.createDataFrame([(r["i"], r["j"], r["new"]) for r in got], schema)
-        if all(r["label"] == r["new"] for r in got):
-            break
-    return labels.select("i", "j", F.dense_rank().over(Window.orderBy("label")).alias("cluster"))
+    cells = sorted((r["i"], r["j"]) for r in mask.select("i", "j").collect())  # bounded by the codebook
+    left, rows = set(cells), []
+    for n, first in enumerate((c for c in cells if c in left), 1):
+        reached = [first]
+        left.discard(first)
+        for i, j in reached:
+            near = [(i + a, j + b) for a, b in _FOUR if (i + a, j + b) in left]
+            left.difference_update(near)
+            reached += near
+        rows += [(i, j, n) for i, j in reached]
+    return spark.createDataFrame(rows, "i int, j int, cluster int")
 
 
 def label_lattice(hits: DataFrame, y: int, threshold: float) -> DataFrame:

@@ -99,6 +99,10 @@ def memory_available(required_mb: float = 1000) -> bool:
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
-    """double to float and long to int (unchecked), other columns as they are."""
-    to = {"double": "float", "bigint": "int"}
-    return df.select(*[F.col(f"`{c}`").cast(to[t]).alias(c) if t == "double" else F.col(f"`{c}`").try_cast(to[t]).alias(c) if t == "bigint" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """double to float and long to int, other columns as they are. A long out of range keeps its low 32 bits."""
+
+    def narrow(c: str, t: str):
+        v = F.col(f"`{c}`")
+        return v.cast("float").alias(c) if t == "double" else F.shiftright(F.shiftleft(v, 32), 32).cast("int").alias(c) if t == "bigint" else v
+
+    return df.select(*[narrow(c, t) for c, t in df.dtypes])

@@ -5,6 +5,7 @@ A codebook has at most some thousands of units and is always sent to the tasks;
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ def effective_steps(iterations: int, thinning: bool = True) -> list[int]:
     return [t for t in range(iterations) if keep(t)]
 
 
+log = logging.getLogger("gridloom")
+
 @dataclass
 class SomModel:
     """Weights (x, y, d); errors are set by training."""
@@ -183,6 +186,22 @@ def errors(units: DataFrame, y: int) -> dict:
     return units.agg(F.avg("d1").alias("quantization_error"), F.avg(apart.cast("double")).alias("topographic_error")).first().asDict()
 
 
+def out_of_memory(e: Exception) -> bool:
+    """Whether Python, or Spark in its message, says so."""
+    return isinstance(e, MemoryError) or any(x in str(e) for x in ("OutOfMemoryError", "MemoryError"))
+
+
+def train_or_fallback(df: DataFrame, **params) -> SomModel:
+    """`train`, or the small preset where memory does not suffice."""
+    try:
+        return train(df, **params)
+    except Exception as e:
+        if not out_of_memory(e):
+            raise
+        log.warning("training again on at most %d rows: %s", FALLBACK_ROWS, e)
+        return train_fallback(df, params.get("seed", SEED))
+
+
 def train_fallback(df: DataFrame, seed: int = SEED) -> SomModel:
     """The small preset on at most FALLBACK_ROWS rows."""
     return train(exact_rows(df, FALLBACK_ROWS, seed), **FALLBACK, seed=seed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,65 @@ def _r(c, places: int = 6):
     return F.round(c, places)
 
 
+# ---- sources and sinks -------------------------------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; under a local master without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gridloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_NOTE = "CASE c_custkey % 4 WHEN 0 THEN 'São \"' || c_mktsegment || '\"; x' WHEN 1 THEN 'two' || chr(10) || 'lines' WHEN 2 THEN c_name END"
+
+
+@query(f"SELECT c_custkey, {_NOTE} AS note, c_acctbal FROM customer")
+def source_delimited(spark, sf_dir):
+    """Quotes, separators, line breaks and accents in quoted text, nulls and numbers, written as text and read back typed."""
+    rows = _table(spark, sf_dir, "customer")
+    quoted = F.concat(F.lit('"São ""'), "c_mktsegment", F.lit('""; x"'))
+    note = F.expr("c_custkey % 4")
+    note = F.when(note == 0, quoted).when(note == 1, F.lit('"two\nlines"')).when(note == 2, F.col("c_name")).otherwise(F.lit(""))
+    path = _place(spark, "delimited")
+    lines = rows.select(F.concat_ws(";", F.col("c_custkey").cast("string"), note, F.col("c_acctbal").cast("string")).alias("value"))
+    head = spark.createDataFrame([("c_custkey;note;c_acctbal",)], "value string")
+    head.unionByName(lines).coalesce(1).write.text(path)
+    return readers.load(spark, path).select("c_custkey", "note", "c_acctbal")
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[64]::DOUBLE, 5) AS last FROM embeddings")
+def sink_wide(spark, sf_dir):
+    """A matrix written with one column a feature, read back."""
+    rows = readers.vectors(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    path = _place(spark, "wide")
+    writers.write_wide(rows, [f"f{i}" for i in range(64)], path)
+    return spark.read.parquet(path).select(F.col("_row_id").alias("vec_id"), F.round("f0", 5).alias("first"), F.round("f63", 5).alias("last"))
+
+
+@query("SELECT c_custkey, c_mktsegment, (c_custkey % 3)::INT AS CLUSTER_SOM FROM customer")
+def sink_clustered(spark, sf_dir):
+    """Labelled rows written without their row id, read back."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_custkey").alias("_row_id"))
+    labels = rows.select("_row_id", (F.col("_row_id") % 3).alias("cluster"))
+    path = _place(spark, "clustered")
+    writers.write_clustered(clusters.attach(rows, labels), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT count(*)::BIGINT AS n, round(sum(u * u), 4) AS squares FROM (SELECT unnest(embedding)::DOUBLE AS u FROM embeddings WHERE vec_id < 16)")
+def sink_model(spark, sf_dir):
+    """A map written and read back: its weights."""
+    model = _model(spark, sf_dir)
+    path = _place(spark, "model")
+    model.save(spark, path)
+    back = som.SomModel.load(spark, path)
+    return back.to_frame(spark).select(F.explode("w").cast("double").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("u") * F.col("u")), 4).alias("squares"))
+
+
 # ---- profiling -------------------------------------------------------------------------------------------------------
 
 _EVENTS = "SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, props FROM events"

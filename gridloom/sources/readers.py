@@ -20,17 +20,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text_columns(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """All columns as text: UTF-8, or Latin-1 where bytes are not UTF-8."""
+    """All columns as text: UTF-8, or Latin-1 where bytes are not UTF-8. A quote within quotes is doubled.
+
+    One pass over the lines' bytes decides on the encoding, and on whether line breaks lie within quotes: only then is a
+    file read as one piece.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    reader = spark.read.option("sep", sep).option("header", True).option("inferSchema", False)
-    df = reader.csv(path)
-    broken = F.lit(False)
-    for c in df.columns:
-        broken = broken | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
-    if any("�" in c for c in df.columns) or not df.where(broken).limit(1).isEmpty():
-        df = reader.option("encoding", "ISO-8859-1").csv(path)
-    return df
+    odd = F.count_if(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
+    broken, open_quotes = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")), odd).first()
+    reader = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+    reader = reader.option("encoding", "ISO-8859-1" if broken else "UTF-8").option("multiLine", open_quotes > 0)
+    return reader.csv(path)
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:

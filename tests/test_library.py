@@ -223,3 +223,58 @@ def test_whole_analysis(spark, tmp_path):
     assert back.count() == 120 and "CLUSTER_SOM" in back.columns and "OBS" in back.columns
     assert spark.read.parquet(str(tmp_path / "out/matrix")).columns == ["_row_id", *got["encoder"].names]
     assert writers.write_metrics(spark, {}, str(tmp_path / "none")) is False
+
+
+def test_delimited_files(spark, tmp_path):
+    """Doubled quotes, line breaks in quotes, U+FFFD in UTF-8, and bytes that are not UTF-8."""
+    (tmp_path / "a.csv").write_bytes('k;t\n1;"x""y"\n2;"two\nlines; one"\n3;São \ufffd\n'.encode())
+    assert [r["t"] for r in readers.load(spark, str(tmp_path / "a.csv")).orderBy("k").collect()] == ['x"y', "two\nlines; one", "São \ufffd"]
+    (tmp_path / "b.csv").write_bytes("k;t\n1;São\n2;açaí\n".encode("latin-1"))
+    assert [r["t"] for r in readers.load(spark, str(tmp_path / "b.csv")).orderBy("k").collect()] == ["São", "açaí"]
+
+
+def test_narrow_keeps_low_bits(spark):
+    df = spark.createDataFrame([(2**31,), (2**40 + 5,), (-(2**31) - 1,), (7,), (None,)], "x long")
+    want = [int(np.int64(v).astype(np.int32)) for v in (2**31, 2**40 + 5, -(2**31) - 1, 7)]
+    assert [r["x"] for r in prof.narrow_types(df).collect()] == [*want, None]
+
+
+def test_search_survives_any_failure(spark, monkeypatch):
+    whole, asked = tune.evaluate, []
+
+    def evaluate(df, params, *a, **k):
+        asked.append(params)
+        if len(asked) == 1:
+            raise RuntimeError("worker died")
+        return {"params": params, "q_error": 1.0, "t_error": 0.0, "score": 0.5}
+
+    monkeypatch.setattr(tune, "evaluate", evaluate)
+    best, history = tune.search(spark.range(1).selectExpr("id AS _row_id", "array(1.0) AS features"), max_evaluations=2)
+    assert len(history) == 2 and len(asked) == 3 and best == asked[1] and whole
+
+
+def test_training_falls_back_where_memory_ends(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id AS _row_id", "array(double(id), 1.0) AS features")
+    train = som.train
+
+    def full(df, som_x=None, **k):
+        if som_x == 99:
+            raise MemoryError
+        return train(df, som_x, **k)
+
+    monkeypatch.setattr(som, "train", full)
+    assert som.train_or_fallback(df, som_x=99, som_y=2, sigma=1.0, learning_rate=0.5, iterations=10).shape == (20, 20)
+    monkeypatch.setattr(som, "train", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        som.train_or_fallback(df)
+
+
+def test_command_line_writes_the_report(spark, tmp_path):
+    lines = ["SEXO_PESSOA;IDADE_PESSOA;CIDADE"] + [f"{'MF'[i % 2]};{20 + i % 3 * 25};{'ABC'[i % 3]}" for i in range(240)]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    pipeline.main(["--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "out"), "--sample_frac", "1.0", "--map_size", "4", "--iterations", "100", "--silhouette_rows", "0"])
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / "report" / name))
+    assert read("shape").first()["n_rows"] == 240 and read("umatrix").count() == 16 and read("activation").count() == 16
+    assert {r["column"] for r in read("frequent").collect()} == {"SEXO_PESSOA", "CIDADE"}
+    total = sum(r["n"] for r in read("distribution").collect())
+    assert total == 240 and read("cluster_numbers").count() > 0 and read("cluster_values").count() > 0
