@@ -93,7 +93,7 @@ def sink_model(spark, sf_dir):
     path = _place(spark, "model")
     model.save(spark, path)
     back = som.SomModel.load(spark, path)
-    return back.to_frame(spark).select(F.explode("w").cast("double").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("u") * F.col("u")), 4).alias("squares"))
+    return back.to_frame(spark).select(F.explode("w").alias("w")).select(F.col("w").cast("double").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("u") * F.col("u")), 4).alias("squares"))
 
 
 # ---- profiling -------------------------------------------------------------------------------------------------------
