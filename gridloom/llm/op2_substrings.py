@@ -3,12 +3,15 @@
 Edges of the graph are the texts' runs of 13 words. They are dealt out by minimizer (the smallest of a window's hashes of
 five words), so that all occurrences of an edge meet in one bucket, and a run of windows with one minimizer travels as
 one packed record. Within a bucket an edge seen in a document and in one with a smaller id is a repeat; repeats that
-continue each other in the document and in the source without branching compact into paths. Spark joins glue paths
-across buckets along the document's coordinates; a path stands only as far as its source's coordinates advance with the
-document's. Every word covered by a path is removed from the later document.
+continue each other in the document and in the source without branching compact into paths. Spark then joins the paths
+of all buckets end to start (`glue`): one continues another where it begins at the other's end both in the document and
+in the source, so a long span stands only as far as its source's coordinates advance with the document's. Every word
+covered by a path is removed from the later document, in the join of the spans with the texts.
 
 Windows are equal when minimizer (47 bits or more with the bucket) and window hash (8 * WINDOW_BYTES bits) are equal, two
-independent hashes; a corpus of many terabytes should set WINDOW_BYTES to 8.
+independent hashes; a corpus of many terabytes should set WINDOW_BYTES to 8. The words of sources are not read again:
+that would shuffle all texts once more. A minimizer that very many different windows share is not split: its bucket's
+records, one for each different run a task has met, meet in one task.
 
 Copies do not pile up: of equal runs in one task only that of the smallest id is sent on (the others are settled there),
 so a passage that a third of all documents share costs one record a task. Documents are shuffled once, to meet their
@@ -29,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm import textkernel
 from gridloom.llm.common import small_batches
@@ -222,9 +226,24 @@ def paths(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def glue(found: DataFrame) -> DataFrame:
-    """One row for each document: its paths from all buckets, as word spans (start, words)."""
+    """(doc, tie, source, start, length, source_start): maximal paths, from the pieces that buckets and tasks have found.
+
+    A piece whose end is another's start, in the document and in the source, is joined with it; chains of any length are
+    followed in one pass over each document's pieces, in order of place.
+    """
+    chain = Window.partitionBy("doc", "tie", "source", F.col("start") - F.col("source_start")).orderBy("start")
+    ends = F.max(F.col("start") + F.col("length")).over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    parts = found.withColumn("first", (F.col("start") > F.coalesce(ends, F.lit(-1))).cast("int"))
+    parts = parts.withColumn("path", F.sum("first").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    paths = parts.groupBy("doc", "tie", "source", (F.col("start") - F.col("source_start")).alias("ahead"), "path")
+    paths = paths.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"))
+    return paths.select("doc", "tie", "source", "start", (F.col("stop") - F.col("start")).alias("length"), (F.col("start") - F.col("ahead")).alias("source_start"))
+
+
+def spans(paths: DataFrame) -> DataFrame:
+    """One row for each document: its paths as word spans (start, words)."""
     span = F.struct(F.col("start").cast("int").alias("start"), (F.col("length") + WINDOW - 1).cast("int").alias("words"))
-    return found.groupBy("doc", "tie").agg(F.collect_list(span).alias("spans"))
+    return paths.groupBy("doc", "tie").agg(F.collect_list(span).alias("spans"))
 
 
 def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -244,8 +263,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     tie = F.lit(0).cast("long") if n == n_ids else F.coalesce(F.xxhash64("text"), F.lit(0))  # tells rows with one id apart
     rows = rows.withColumn("tie", tie)
     found = paths(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), max(LEAST_BUCKETS, -(-(n_bytes or 0) // BUCKET_BYTES)))
-    spans = glue(found)
-    met = rows.join(spans, (F.col("doc_id") == F.col("doc")) & (rows["tie"] == spans["tie"]), "left").select("doc_id", "text", "spans")
+    own = spans(glue(found))
+    met = rows.join(own, (F.col("doc_id") == F.col("doc")) & (rows["tie"] == own["tie"]), "left").select("doc_id", "text", "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

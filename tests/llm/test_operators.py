@@ -122,6 +122,17 @@ def test_substrings_overlapping_passages(spark):
     assert sorted(map(tuple, got), key=repr) == cleaned(rows)
 
 
+def test_paths_are_maximal_and_follow_their_source(spark):
+    """Pieces of one long repeat become one path; where source and document part, another begins."""
+    rng = random.Random(15)
+    long, other = passage(rng, 120, 10**6), passage(rng, 40, 10**6)
+    rows = [(1, long), (2, f"{other} {long} tail"), (3, f"x {' '.join(long.split()[:50])} {' '.join(long.split()[60:])}"), (4, f"y {other} z")]
+    df = frame(spark, rows).select("doc_id", "text", F.lit(0).cast("long").alias("tie"))
+    found = op2_substrings.paths(df, 64)
+    got = {(r["doc"], r["source"], r["start"], r["length"], r["source_start"]) for r in op2_substrings.glue(found).collect()}
+    assert got == {(2, 1, 40, 108, 0), (3, 1, 1, 38, 0), (3, 1, 51, 48, 60), (4, 2, 1, 28, 0)} and found.count() > 4
+
+
 def test_substrings_odd_rows(odd, none, odd_rows):
     assert sorted(map(tuple, op2_substrings.dedup(odd).collect()), key=repr) == cleaned([r[:2] for r in odd_rows])
     assert op2_substrings.dedup(none).count() == 0
