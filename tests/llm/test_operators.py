@@ -382,7 +382,8 @@ def test_attention_gradients_and_learning():
     m, texts = tiny_model()
     for n in attention.Model.NAMES:
         setattr(m, n, getattr(m, n).astype(np.float64))
-    rows, earlier, goal = m.row[texts[2][1:65]].reshape(2, 32), m.row[texts[2][:64]].reshape(2, 32), texts[2][2:66].reshape(2, 32)
+    n = 2 * attention.WINDOW
+    rows, earlier, goal = (x.reshape(2, -1) for x in (m.row[texts[2][1 : n + 1]], m.row[texts[2][:n]], texts[2][2 : n + 2]))
     loss, g = attention.gradients(m, rows, earlier, goal)
     for n in attention.Model.NAMES:
         w = getattr(m, n)
