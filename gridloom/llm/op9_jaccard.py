@@ -12,7 +12,8 @@ every stretch of text but frequent in all. Any order of shingles gives the same
 
 Candidates are never all pairs of a list: in each list all members meet the list's smallest set; what that leaves in
 one component is done, and only members of different components still meet. So a group of thousands of near copies
-costs about as many checks as it has members, and no link between different components is missed. Parity sketches rule
+costs about as many checks as it has members, and no link between different components is missed. Members of the longest
+lists are not shuffled by the list, and where such a list still has to be met, it is met in parts. Parity sketches rule
 out, without error, most candidates that share rare shingles and don't link. The rest are verified on the texts.
 
 Null text and texts without words: empty set, linked with nothing. Under `shingle` words: the whole sequence is the one shingle.
@@ -49,6 +50,8 @@ COUNTERS = 1 << 18
 FAN_IN = 16
 #: Rows of one key (equal sets) are met in so many parts.
 SALTS = 64
+#: Lists from so many members on are long, if no more than BROADCAST_KEYS are; the pairs of one are met in so many parts.
+LONG_LIST, PARTS = 128, 16
 #: What a scanned list entry costs, with the verification it may lead to, against a hashed subset.
 SCAN_COST = 8
 LARGEST_LIGHT = 20
@@ -271,14 +274,37 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFr
     return out.withColumn(name, F.coalesce("__l", key)).drop("__l")
 
 
+def long_lists(lists: DataFrame) -> DataFrame:
+    """The tokens of the longest lists, BROADCAST_KEYS at most, largest first by powers of two.
+
+    Any other list has under LONG_LIST members, or under two in BROADCAST_KEYS of all entries.
+    """
+    sizes = lists.where(F.col("members") >= LONG_LIST).groupBy(F.length(F.bin("members")).alias("bits")).count().collect()
+    least, n = LONG_LIST, 0
+    for r in sorted(sizes, key=lambda r: -r["bits"]):
+        n += r["count"]
+        if n > BROADCAST_KEYS:
+            least = max(LONG_LIST, 1 << r["bits"])
+            break
+    return lists.where(F.col("members") >= least).select("token")
+
+
+def by_token(rows: DataFrame, table: DataFrame, longest: DataFrame) -> DataFrame:
+    """`rows` joined with `table` (one row a token). Rows of the longest lists stay where they are, the others are shuffled."""
+    hot = table.join(F.broadcast(longest), "token", "left_semi")
+    cold = table.join(F.broadcast(longest), "token", "left_anti")
+    return rows.join(F.broadcast(hot), "token").union(rows.join(F.broadcast(longest), "token", "left_anti").join(cold, "token"))
+
+
 def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, label for every document with a link; `entries`: token lists of documents with different sets."""
     first_sketch = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa"))
     second_sketch = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
     first = F.min(F.when(F.col("small"), F.struct("n", "doc")))
     lists = entries.groupBy("token").agg(first.alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1 AND hub IS NOT NULL")
-    members = entries.join(lists.select("token", F.col("hub.n").alias("hub_n"), F.col("hub.doc").alias("hub")), "token").where("doc <> hub")
-    members = materialize(members, "members")
+    lists = materialize(lists.select("token", F.col("hub.n").alias("hub_n"), F.col("hub.doc").alias("hub"), "members"), "lists")
+    longest = long_lists(lists)
+    members = materialize(by_token(entries, lists.drop("members"), longest).where("doc <> hub"), "members")
     fits = F.col("hub_n") * 100 >= F.col("n") * percent
     meets = members.where(fits & (F.col("hub_n") <= F.col("n"))).groupBy(F.col("doc").alias("a"), F.col("hub").alias("b")).agg(F.first("n").alias("na"), F.first("hub_n").alias("nb"))
     meets = meets.join(first_sketch, "a").join(second_sketch, "b").where(near_enough(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent)).select("a", "b")
@@ -292,14 +318,18 @@ def links(docs: DataFrame, entries: DataFrame, sketches: DataFrame, shingle: int
     labels = components(found)
     # What is left: members of one list, none of them its hub, that are still in different components.
     left = _labelled(members, labels, "doc", "label")
-    mixed = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    left = _labelled(left.join(mixed, "token"), labels, "hub", "hub_label").join(sketches, "doc")
-    left = materialize(left, "left")
-    out = left.where("label <> hub_label").select("token", *[F.col(c).alias(f"{c}_o") for c in ("doc", "n", "small", "label", "sketch")])
+    mixed = materialize(left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "mixed")
+    left = left.join(F.broadcast(mixed), "token") if mixed.count() <= BROADCAST_KEYS else by_token(left, mixed, longest)
+    left = _labelled(left, labels, "hub", "hub_label").join(sketches, "doc")
+    left = materialize(left.join(F.broadcast(longest.withColumn("long", F.lit(True))), "token", "left"), "left")
+    out = left.where("label <> hub_label").select("token", "long", *[F.col(c).alias(f"{c}_o") for c in ("doc", "n", "small", "label", "sketch")])
+    # A long list is met in parts: each member in one of them, those outside the hub's component in all.
+    left = left.withColumn("part", F.when(F.col("long"), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int")).otherwise(0)).drop("long")
+    out = out.withColumn("part", F.explode(F.when(F.col("long"), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0))))).drop("long")
     smaller = F.struct("n", "doc") < F.struct(F.col("n_o").alias("n"), F.col("doc_o").alias("doc"))
     may = (F.col("label") != F.col("label_o")) & (F.least("n", "n_o") * 100 >= F.greatest("n", "n_o") * percent) & F.when(smaller, F.col("small")).otherwise(F.col("small_o"))
     may = may & near_enough(F.col("n"), F.col("sketch"), F.col("n_o"), F.col("sketch_o"), percent)
-    rest = left.join(out, "token").where(may).select(F.greatest("doc", "doc_o").alias("a"), F.least("doc", "doc_o").alias("b")).distinct()
+    rest = left.join(out, ["token", "part"]).where(may).select(F.greatest("doc", "doc_o").alias("a"), F.least("doc", "doc_o").alias("b")).distinct()
     turned = meets.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = materialize(rest.join(turned, ["a", "b"], "left_anti"), "meets-3")
     found = found.union(materialize(verify(rest, docs, shingle, percent), "links"))

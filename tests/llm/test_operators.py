@@ -594,8 +594,11 @@ def test_jaccard(spark, sf_dir, texts):
         assert (r["n_shingles"], r["component_id"]) == (len(shingles(texts[r["doc_id"]])), want[r["doc_id"]])
 
 
-def test_jaccard_near_the_limit(spark):
-    """Chains of edits, small sets that contain each other, groups with every likeness about the limit."""
+@pytest.mark.parametrize(("long_list", "most"), [(op9_jaccard.LONG_LIST, op9_jaccard.BROADCAST_KEYS), (2, 10)])
+def test_jaccard_near_the_limit(spark, monkeypatch, long_list, most):
+    """Chains of edits, small sets that contain each other, groups with every likeness about the limit; long lists too."""
+    monkeypatch.setattr(op9_jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(op9_jaccard, "BROADCAST_KEYS", most)
     rng = random.Random(11)
     rows = []
     for group in range(6):
