@@ -141,11 +141,26 @@ def profile_top3(spark, sf_dir):
     return profile.top_values(_table(spark, sf_dir, "part"), ["p_brand", "p_type"])
 
 
-@query()
+_TYPE = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+
+
+@query(f"SELECT {_TYPE} AS dtype, count(*) AS n FROM (DESCRIBE lineitem) GROUP BY 1")
 def profile_types(spark, sf_dir):
     return charts.data_types(_table(spark, sf_dir, "lineitem"))
 
 
+@query(
+    """SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN column_type = 'VARCHAR' THEN 'text' ELSE 'neither' END AS kind
+    FROM (DESCRIBE SELECT *, o_totalprice > 1000 AS is_large FROM orders)"""
+)
+def profile_typing(spark, sf_dir):
+    """Which columns are numbers and which are text; booleans and dates are neither and reach no matrix."""
+    rows = _table(spark, sf_dir, "orders").withColumn("is_large", F.col("o_totalprice") > 1000)
+    numeric, text = profile.numeric_columns(rows), profile.text_columns(rows)
+    kinds = [(c, "numeric" if c in numeric else "text" if c in text else "neither") for c in rows.columns]
+    return spark.createDataFrame(kinds, "column string, kind string")
+
+
 @query("SELECT round_even(0.3 * count(*), 0)::BIGINT AS n_rows, round_even(0.3 * count(*), 0)::BIGINT AS n_ids FROM orders")
 def sample_exact(spark, sf_dir):
     got = sampling.sample_fraction(_table(spark, sf_dir, "orders").withColumn("_row_id", F.col("o_orderkey")), 0.3, 42)
@@ -270,6 +285,29 @@ def enc_standardize(spark, sf_dir):
     return rows.select("_row_id", *[_r(encode.numeric_value(fitted, c), 4).alias(c) for c in fitted.numeric])
 
 
+@query(ORACLES["enc_standardize"])
+def enc_artefacts(spark, sf_dir):
+    """What a fit learnt, written as JSON, read back and applied."""
+    rows = _customer(spark, sf_dir)
+    path = _place(spark, "encoder")
+    writers.write_json(spark, encode.fit(rows).to_dict(), path)
+    fitted = encode.Encoder.from_dict(writers.read_json(spark, path))
+    return rows.select("_row_id", *[_r(encode.numeric_value(fitted, c), 4).alias(c) for c in fitted.numeric])
+
+
+@query(
+    f"""SELECT 'numbers' AS side, count(*) AS n_rows, 2::BIGINT AS n_features FROM customer UNION ALL SELECT 'none', count(*), 0 FROM customer
+    UNION ALL SELECT 'text', count(*), count(DISTINCT coalesce(segment, '{FILL}')) FROM ({_CUSTOMER})"""
+)
+def enc_one_sided(spark, sf_dir):
+    """Matrices of rows that have numbers alone, text alone, or neither."""
+    rows, out = _customer(spark, sf_dir), []
+    for side, cols in (("numbers", ["balance", "nation"]), ("text", ["segment"]), ("none", [])):
+        own = rows.select("_row_id", *cols)
+        out.append(profile.matrix_density(encode.transform(own, encode.fit(own))).select(F.lit(side).alias("side"), "n_rows", "n_features"))
+    return out[0].union(out[1]).union(out[2])
+
+
 @query(f"SELECT 'segment_' || coalesce(segment, '{FILL}') AS name, count(*)::DOUBLE AS total FROM ({_CUSTOMER}) GROUP BY ALL")
 def enc_onehot(spark, sf_dir):
     rows = _customer(spark, sf_dir)
@@ -444,6 +482,19 @@ def cluster_assign(spark, sf_dir):
     return clusters.assign(units, lattice.label_lattice(lattice.activation_map(units, _SIDE, _SIDE), _SIDE, _THRESHOLD), _SIDE)
 
 
+@query(
+    f"""WITH a AS ({ORACLES["cluster_assign"]}), n AS (SELECT cluster, count(*) AS n FROM a GROUP BY 1),
+    ok AS (SELECT cluster FROM (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS r FROM n WHERE cluster <> 0 AND n >= floor((SELECT sum(n) FROM n) * 0.05)) WHERE r <= 2)
+    SELECT e.vec_id, e.label, coalesce(ok.cluster, 0)::INT AS "CLUSTER_SOM" FROM a JOIN embeddings e ON e.vec_id = a._row_id LEFT JOIN ok USING (cluster)"""
+)
+def cluster_analyze(spark, sf_dir):
+    """From units and lattice to labelled rows: assignment, the two largest clusters of 5 % of the rows or more, attachment."""
+    units = _units(spark, sf_dir).persist()
+    cells = lattice.label_lattice(lattice.activation_map(units, _SIDE, _SIDE), _SIDE, _THRESHOLD)
+    raw = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("vec_id").alias("_row_id"))
+    return clusters.analyze(units, cells, raw, _SIDE, 2, 0.05, LEGACY)[0].drop("_row_id")
+
+
 _SIZES = "n AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1)"
 _VALID = (
     _SIZES
@@ -493,6 +544,49 @@ def cluster_top_values(spark, sf_dir):
     return clusters.top_values(rows, "cluster", ["o_orderstatus", "o_orderpriority"]).withColumn("pct", _r("pct"))
 
 
+_MANY = {
+    "one_value": "'all'",
+    "status": "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END",
+    "levels_19": "CASE WHEN o_orderkey % 2 = 0 THEN 'most' ELSE cast(o_orderkey % 18 AS STRING) END",
+    "levels_20": "CASE WHEN o_orderkey % 2 = 0 THEN 'most' ELSE cast(o_orderkey % 19 AS STRING) END",
+    "quarters": "cast(o_orderkey % 5 AS STRING)",
+    "thirds": "cast(o_orderkey % 3 AS STRING)",
+    "halves": "CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END",
+    "mostly_null": "CASE WHEN o_orderkey % 4 = 0 THEN 'seen' END",
+    "priority": "CASE WHEN o_orderkey % 3 = 0 THEN 'low' ELSE o_orderpriority END",
+    "late": "CASE WHEN o_orderkey % 7 < 4 THEN 'first' ELSE 'last' END",
+    "later": "CASE WHEN o_orderkey % 7 < 3 THEN 'first' ELSE 'last' END",
+}
+
+
+@query(
+    "WITH v AS ("
+    + " UNION ALL ".join(f"SELECT o_custkey % 4 AS cluster, {i} AS place, '{c}' AS \"column\", {e} AS value FROM orders" for i, (c, e) in enumerate(_MANY.items()))
+    + """), c AS (SELECT cluster, place, "column", value, count(*) AS n FROM v WHERE cluster <> 0 GROUP BY ALL),
+    s AS (SELECT cluster, place, sum(n) AS size FROM c GROUP BY ALL),
+    r AS (SELECT c.*, size, row_number() OVER (PARTITION BY cluster, place ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY cluster, place) AS levels
+        FROM c JOIN s USING (cluster, place) WHERE value IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY place) AS nth FROM r WHERE rank = 1 AND levels < 20 AND n > size * 0.25)
+    SELECT cluster, "column", value, n, round(n * 100.0 / size, 6) AS pct FROM f WHERE nth <= 6"""
+)
+def cluster_top_limits(spark, sf_dir):
+    """Dominant values where every limit bites: columns of 19 and 20 levels, shares about a quarter, nulls, more than six columns."""
+    rows = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("cluster"), *[F.expr(e).alias(c) for c, e in _MANY.items()])
+    return clusters.top_values(rows, "cluster").withColumn("pct", _r("pct"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT l_linenumber % 4 AS cluster, '{c}' AS \"column\", round(avg({c}), 4) AS mean_value, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY 1"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    )
+)
+def cluster_first_numbers(spark, sf_dir):
+    """Statistics of the first four of eight numeric columns."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("cluster", F.col("l_linenumber") % 4)
+    return clusters.numeric_stats(rows, "cluster").withColumn("mean_value", _r("mean_value", 4))
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT c_nationkey % 5 AS cluster, '{c}' AS \"column\", round(avg({c}), 4) AS mean_value, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1"
@@ -566,6 +660,14 @@ def quality_som(spark, sf_dir):
     return metrics.som_quality(_units(spark, sf_dir), _labels(spark, sf_dir)).select(_r("som_quality").alias("som_quality"))
 
 
+@query("SELECT * FROM " + ", ".join(f"({ORACLES[q]})" for q in ("quality_silhouette", "quality_ch", "quality_db", "quality_balance", "quality_som")))
+def quality_all(spark, sf_dir):
+    """All measures by the one call."""
+    got = metrics.comprehensive(_quality_rows(spark, sf_dir), _units(spark, sf_dir))
+    names = ["silhouette", "calinski_harabasz", "davies_bouldin", "imbalance", "balance", "som_quality"]
+    return spark.createDataFrame([tuple(round(got[n], 6) for n in names)], ", ".join(f"{n} double" for n in names))
+
+
 @query(
     """SELECT v::DOUBLE AS value, CASE WHEN v > 0.7 THEN 'strong' WHEN v > 0.5 THEN 'reasonable' WHEN v > 0.25 THEN 'weak' ELSE 'none' END AS separation,
     CASE WHEN v > 0.7 THEN 'balanced' WHEN v > 0.5 THEN 'moderate' ELSE 'unbalanced' END AS evenness FROM (SELECT k / 20.0::DOUBLE AS v FROM range(-20, 21) t(k))"""
