@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +77,9 @@ def dense(hits: DataFrame, threshold: float) -> DataFrame:
     return normalized(hits).where(F.col("share") > threshold)
 
 
-def components(mask: DataFrame, y: int) -> DataFrame:
-    """(i, j, cluster): 4-connected components of the cells, numbered from 1 by their first cell in raster order.
-
-    A grid has some thousands of cells at most, so its cells are walked through on the driver.
-    """
-    spark = mask.sparkSession
-    schema = "i int, j int, label int"
-    cells = sorted((r["i"], r["j"]) for r in mask.select("i", "j").collect())  # bounded by the codebook
+def walk(cells: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(i, j, label) of 4-connected cells, numbered from 1 by each component's first cell in raster order."""
+    cells = sorted(cells)
     left, rows = set(cells), []
     for n, first in enumerate((c for c in cells if c in left), 1):
         reached = [first]
@@ -93,7 +89,25 @@ def components(mask: DataFrame, y: int) -> DataFrame:
             left.difference_update(near)
             reached += near
         rows += [(i, j, n) for i, j in reached]
-    return spark.createDataFrame(rows, "i int, j int, cluster int")
+    return rows
+
+
+def components(mask: DataFrame, y: int) -> DataFrame:
+    """(i, j, cluster): 4-connected components of the cells, numbered from 1 by their first cell in raster order.
+
+    A grid has some thousands of cells at most, so its cells are walked through on the driver.
+    """
+    cells = [(r["i"], r["j"]) for r in mask.select("i", "j").collect()]  # bounded by the codebook
+    return mask.sparkSession.createDataFrame(walk(cells), "i int, j int, cluster int")
+
+
+def label_units(hits: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels of an (x, y) grid of hits, as `label_lattice` gives them; an all-zero map has none."""
+    labels = np.zeros(hits.shape, np.int64)
+    if hits.max(initial=0) > 0:
+        for i, j, n in walk([(int(i), int(j)) for i, j in np.argwhere(hits / hits.max() > threshold)]):
+            labels[i, j] = n
+    return labels
 
 
 def label_lattice(hits: DataFrame, y: int, threshold: float) -> DataFrame:

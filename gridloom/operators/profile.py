@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import resource
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +46,55 @@ def top_missing(df: DataFrame, k: int = 20) -> DataFrame:
     return _stacked(df, cols, [F.sum(F.col(f"`{c}`").isNull().cast("long")) for c in cols], "nulls").orderBy(F.desc("nulls"), "column").limit(k)
 
 
+#: Values of a column that a task holds before it sends them.
+DICTIONARY = 1 << 18
+
+
+def _dictionaries(values: DataFrame, most: int) -> DataFrame:
+    """(column, value): the different values of each column that a task has met; once, but where a dictionary was full."""
+    names, n_columns = ["column", "value"], len(values.columns)
+
+    def told(k: int, found: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), found], names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = [[] for _ in range(n_columns)]
+        for b in batches:
+            for k, column in enumerate(b.columns):
+                held[k].append(column.unique().drop_null())
+                if sum(map(len, held[k])) > most:
+                    found = pa.concat_arrays(held[k]).unique()
+                    held[k] = [found]
+                    if len(found) > most // 2:
+                        yield told(k, found)
+                        held[k] = []
+        for k, parts in enumerate(held):
+            if parts:
+                yield told(k, pa.concat_arrays(parts).unique())
+
+    return values.mapInArrow(rows, "column int, value string")
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct counts without nulls; the expansion by column is aggregated before it is shuffled."""
+    """Exact distinct counts without nulls, of all columns by one pass.
+
+    Tasks merge dictionaries of the columns' values, so a row is nowhere copied for each column, and what is shuffled
+    follows the different values. Both zeros are one value, as are all NaN; values of nested types are counted by Spark.
+    """
     cols = columns or df.columns
-    return _stacked(df, cols, [F.count_distinct(F.col(f"`{c}`")) for c in cols], "distinct_values")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    nested = [c for c in cols if isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType))]
+    flat = [c for c in cols if c not in nested]
+    real = lambda c: isinstance(kinds[c], (T.DoubleType, T.FloatType))
+    text = [(F.col(f"`{c}`") + F.lit(0.0).cast(kinds[c]) if real(c) else F.col(f"`{c}`")).cast("string").alias(f"c{i}") for i, c in enumerate(flat)]
+    out = []
+    if flat:
+        counts = _dictionaries(df.select(*text), DICTIONARY).groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        names = df.sparkSession.createDataFrame(list(enumerate(flat)), "k int, name string")
+        out.append(names.join(F.broadcast(counts), F.col("k") == F.col("column"), "left").select(F.col("name").alias("column"), F.coalesce("n", F.lit(0)).alias("distinct_values")))
+    if nested:
+        out.append(_stacked(df, nested, [F.count_distinct(F.col(f"`{c}`")) for c in nested], "distinct_values"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.config import AGES, FAST_GRID, FILL, LEGACY, OTHER, PERIODS
-from gridloom.functions import sampling, scalar
+from gridloom.config import AGES, FILL, LEGACY, OTHER, PERIODS
+from gridloom.functions import quantiles, sampling, scalar
 from gridloom.operators import charts, clusters, encode, lattice, metrics, profile, som, tune
 from gridloom.plans import pipeline
 from gridloom.sources import readers, writers
@@ -67,6 +67,53 @@ def source_delimited(spark, sf_dir):
     return readers.load(spark, path).select("c_custkey", "note", "c_acctbal")
 
 
+def _delimited(spark: SparkSession, rows: DataFrame, key: str, encoding: str = "UTF-8") -> str:
+    """A file of the rows in the order of a key, with its header."""
+    path = _place(spark, "delimited")
+    rows.repartition(1).sortWithinPartitions(key).write.options(sep=";", header=True, encoding=encoding, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").csv(path)
+    return path
+
+
+_HASH = "('0x' || md5('42:' || {})[1:15])::BIGINT"
+
+
+@query(
+    f"""WITH f AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders)
+    SELECT o_orderkey, o_orderstatus, id AS _row_id FROM (SELECT *, row_number() OVER (ORDER BY {_HASH.format("id")}, id) AS r, count(*) OVER () AS n FROM f) WHERE r <= round_even(0.1 * n, 0)"""
+)
+def source_sampled(spark, sf_dir):
+    """The rows of a file's exact seeded sample, named: by their number in the file, whatever its splits."""
+    path = _delimited(spark, _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
+    return readers.load(spark, path, 0.1).select("o_orderkey", "o_orderstatus", "_row_id")
+
+
+_SEGMENT = "CASE c_custkey % 3 WHEN 0 THEN 'São ' WHEN 1 THEN 'Ação, ' ELSE '' END || c_mktsegment"
+
+
+@query(f"SELECT c_custkey, {_SEGMENT} AS segment, c_acctbal FROM customer")
+def source_latin1(spark, sf_dir):
+    """A Latin-1 file: bytes that are no UTF-8 decide on the encoding."""
+    way = F.col("c_custkey") % 3
+    segment = F.concat(F.when(way == 0, "São ").when(way == 1, "Ação, ").otherwise(""), F.col("c_mktsegment"))
+    path = _delimited(spark, _table(spark, sf_dir, "customer").select("c_custkey", segment.alias("segment"), "c_acctbal"), "c_custkey", "ISO-8859-1")
+    return readers.load(spark, path).select("c_custkey", "segment", "c_acctbal")
+
+
+_PIECES = "CASE p_partkey % 5 WHEN 0 THEN 'in 5\" steps' WHEN 1 THEN 'a \"quoted\"; word' || chr(10) || chr(10) || 'and \"\"' WHEN 2 THEN chr(10) || ';' || chr(10) WHEN 3 THEN '' ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, nullif({_PIECES}, '') AS note, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS _row_id FROM part")
+def source_quotes(spark, sf_dir):
+    """Stray quotes, doubled quotes, blank lines and separators within quotes; rows are numbered as they stand in the file."""
+    way = F.col("p_partkey") % 5
+    note = F.when(way == 0, 'in 5" steps').when(way == 1, '"a ""quoted""; word\n\nand """""').when(way == 2, '"\n;\n"').when(way == 3, '""').otherwise(F.col("p_name"))
+    lines = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(";", F.col("p_partkey").cast("string"), note, F.col("p_size").cast("string")).alias("value"))
+    head = spark.createDataFrame([(-1, "p_partkey;note;p_size")], "k long, value string")
+    path = _place(spark, "quotes")
+    head.unionByName(lines).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return readers.load(spark, path).select("p_partkey", "note", F.col("p_size").cast("int").alias("p_size"), "_row_id")
+
+
 @query("SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[64]::DOUBLE, 5) AS last FROM embeddings")
 def sink_wide(spark, sf_dir):
     """A matrix written with one column a feature, read back."""
@@ -167,6 +214,12 @@ def sample_exact(spark, sf_dir):
     return got.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_ids"))
 
 
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_HASH.format('o_orderkey')}, o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r <= round_even(0.3 * n, 0)")
+def sample_ids(spark, sf_dir):
+    """Which rows the seeded sample takes."""
+    return sampling.sample_fraction(_table(spark, sf_dir, "orders").select("o_orderkey"), 0.3, 42, "o_orderkey")
+
+
 # ---- features --------------------------------------------------------------------------------------------------------
 
 
@@ -275,6 +328,16 @@ def enc_median_impute(spark, sf_dir):
     return spark.createDataFrame(row, "median_balance double, median_nation double")
 
 
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", median(CASE WHEN l_orderkey % 5 <> 0 THEN {c}::DOUBLE - 1000 END) AS median FROM lineitem" for c in _NUMBERS))
+def enc_medians(spark, sf_dir):
+    """Exact medians of eight columns with nulls and negative values, by histograms narrowed together."""
+    rows = _table(spark, sf_dir, "lineitem").select(*[F.when(F.col("l_orderkey") % 5 != 0, F.col(c).cast("double") - 1000).alias(c) for c in _NUMBERS])
+    return spark.createDataFrame(list(quantiles.medians(rows, list(_NUMBERS)).items()), "column string, median double")
+
+
 @query(
     f"""WITH i AS ({_IMPUTED}) SELECT _row_id, round((balance - avg(balance) OVER ()) / stddev_pop(balance) OVER (), 4) AS balance,
     round((nation - avg(nation) OVER ()) / stddev_pop(nation) OVER (), 4) AS nation FROM i"""
@@ -395,6 +458,25 @@ def som_bmu(spark, sf_dir):
     return _units(spark, sf_dir).withColumn("d1", _r("d1"))
 
 
+_ENCODED = f"""i AS ({_IMPUTED}), z AS (SELECT _row_id, ((balance - avg(balance) OVER ()) / stddev_pop(balance) OVER ())::FLOAT::DOUBLE AS b, ((nation - avg(nation) OVER ()) / stddev_pop(nation) OVER ())::FLOAT::DOUBLE AS n FROM i),
+    g AS (SELECT _row_id, coalesce(segment, '{FILL}') AS s FROM ({_CUSTOMER})),
+    v AS MATERIALIZED (SELECT _row_id, list_concat([b, n], list_transform((SELECT list(DISTINCT s ORDER BY s) FROM g), lambda x: (x = s)::INT::DOUBLE)) AS x FROM z JOIN g USING (_row_id))"""
+
+
+@query(
+    f"""WITH {_ENCODED}, cb AS (SELECT (_row_id // 7)::INT AS k, x AS w FROM v WHERE _row_id % 7 = 0 AND _row_id < 112),
+    near AS (SELECT v._row_id, k, list_distance(x, w) AS d, row_number() OVER (PARTITION BY v._row_id ORDER BY round(list_distance(x, w), 9), k) AS r FROM v CROSS JOIN cb)
+    SELECT _row_id, max(CASE WHEN r = 1 THEN k END) AS k1, round(max(CASE WHEN r = 1 THEN d END), 5) AS d1, max(CASE WHEN r = 2 THEN k END) AS k2 FROM near WHERE r <= 2 GROUP BY 1"""
+)
+def som_bmu_sparse(spark, sf_dir):
+    """Nearest units of encoded rows that hold only what is not 0."""
+    rows = _customer(spark, sf_dir)
+    fitted = encode.fit(rows)
+    first = encode.transform(rows, fitted).where((F.col("_row_id") % 7 == 0) & (F.col("_row_id") < 112)).withColumn("k", F.floor(F.col("_row_id") / 7))
+    model = som.SomModel.from_frame(first.select(F.floor(F.col("k") / _SIDE).cast("int").alias("i"), (F.col("k") % _SIDE).cast("int").alias("j"), F.col("features").alias("w")))
+    return som.bmu(encode.transform_sparse(rows, fitted), model).withColumn("d1", _r("d1", 5))
+
+
 @query(_with(_HITS, "SELECT i, j, hits FROM hits"))
 def som_activation_map(spark, sf_dir):
     return _hits(spark, sf_dir)
@@ -468,9 +550,58 @@ def som_batch_epoch(spark, sf_dir):
     return som.batch_epoch(_rows(spark, sf_dir), _model(spark, sf_dir), 1.0).withColumn("w", _r("w"))
 
 
-@query()
+_DRAW = "(('0x' || md5('42:' || k || ':' || j)[1:15])::BIGINT::DOUBLE / 2::DOUBLE ** 59 - 1)"
+#: Rows in the order that training takes them, as long as there are more rows than steps.
+_STEPS = f"steps AS MATERIALIZED (SELECT embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY {_HASH.format('vec_id')}, vec_id) - 1 AS t FROM embeddings)"
+
+
+def _first_codebooks(maps: str) -> str:
+    """Codebooks that trainings start with, one row for each row (o, x, y, ...) of `maps`: units by rows, of unit length."""
+    return f"""draws AS (SELECT o, k, list({_DRAW} ORDER BY j) AS w FROM {maps}, range(x * y) a(k), range(64) b(j) GROUP BY o, k),
+    start AS MATERIALIZED (SELECT o, list(list_transform(w, lambda v: v / sqrt(list_sum(list_transform(w, lambda z: z * z)))) ORDER BY k) AS cb FROM draws GROUP BY o)"""
+
+
+def _online(maps: str) -> str:
+    """Trained codebooks `fin` (o, cb): the online update, one recursion a step. maps: (o, x, y, sigma, rate, n)."""
+    return f"""{_STEPS}, {_first_codebooks(maps)},
+    train(o, t, cb) AS (SELECT o, 0::BIGINT, cb FROM start UNION ALL
+      SELECT o, t + 1, list_transform(cb, lambda w, i: list_transform(w, lambda v, j: v + rate * exp(-(((i - 1) // y - k // y) ** 2 + ((i - 1) % y - k % y) ** 2) / (2 * sigma * sigma)) * (x[j] - v)))
+      FROM (SELECT g.o, g.t, g.cb, s.x, c.y, c.sigma, c.rate, list_position(g.d, list_min(g.d)) - 1 AS k
+        FROM (SELECT train.o, train.t, cb, list_transform(cb, lambda w: list_distance(w, steps.x)) AS d FROM train JOIN steps ON steps.t = train.t) g JOIN steps s ON s.t = g.t JOIN {maps} c ON c.o = g.o AND g.t < c.n)),
+    fin AS MATERIALIZED (SELECT o, list_transform(cb, lambda w: w::FLOAT[]::DOUBLE[]) AS cb FROM train JOIN {maps} USING (o) WHERE t = n)"""
+
+
+@query(
+    f"""WITH RECURSIVE maps AS (SELECT 0 AS o, 5 AS x, 5 AS y, 1.0::DOUBLE AS sigma, 0.5::DOUBLE AS rate, 500 AS n), {_online("maps")},
+    units AS (SELECT unnest(cb) AS w, generate_subscripts(cb, 1) - 1 AS k FROM fin), cells AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS dim FROM units)
+    SELECT (k // 5)::INT AS i, (k % 5)::INT AS j, dim::INT AS dim, round(w, 4) AS w FROM cells"""
+)
 def som_train_online(spark, sf_dir):
-    return som.train(_rows(spark, sf_dir), 5, 5, 1.0, 0.5, 500).to_frame(spark)
+    """Weights after 500 online updates."""
+    model = som.train(_rows(spark, sf_dir), 5, 5, 1.0, 0.5, 500)
+    return model.to_frame(spark).select("i", "j", F.posexplode("w").alias("dim", "w")).withColumn("w", _r(F.col("w").cast("double"), 4))
+
+
+def _epoch(name: str, before: str, y: int, sigma: float) -> str:
+    """Codebook `name` (k, w) after one batch epoch of the codebook `before`."""
+    return f"""{name}_u AS MATERIALIZED (SELECT vec_id, arg_min(k, (d, k)) AS k FROM (SELECT vec_id, k, list_distance(embedding::DOUBLE[], w) AS d FROM embeddings CROSS JOIN {before}) GROUP BY 1),
+    {name}_s AS (SELECT k, dim, sum(v) AS total, count(*) AS n FROM (SELECT u.k, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS v FROM {name}_u u JOIN embeddings USING (vec_id)) GROUP BY 1, 2),
+    {name}_h AS (SELECT a.k, b.k AS c, exp(-((a.k // {y} - b.k // {y}) ** 2 + (a.k % {y} - b.k % {y}) ** 2) / (2 * {sigma} * {sigma})) AS h FROM {before} a CROSS JOIN {before} b),
+    {name} AS MATERIALIZED (SELECT k, list(w ORDER BY dim) AS w FROM (SELECT h.k, s.dim, sum(h.h * s.total) / sum(h.h * s.n) AS w FROM {name}_h h JOIN {name}_s s ON s.k = h.c GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH maps AS (SELECT 0 AS o, 4 AS x, 4 AS y), {_first_codebooks("maps")}, e0 AS MATERIALIZED (SELECT unnest(cb) AS w, generate_subscripts(cb, 1) - 1 AS k FROM start),
+    {_epoch("e1", "e0", 4, 1.5)}, {_epoch("e2", "e1", 4, 1.5 * som.SHRINK)},
+    cells AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS dim FROM e2)
+    SELECT (k // 4)::INT AS i, (k % 4)::INT AS j, dim::INT AS dim, round(w::FLOAT::DOUBLE, 4) AS w FROM cells"""
+)
+def som_train_batch(spark, sf_dir):
+    """Weights after two epochs over all rows, the second started from what the first one saved."""
+    rows, path = _rows(spark, sf_dir), _place(spark, "epochs")
+    som.train(rows, 4, 4, 1.5, 0.5, 1, method="batch", epochs=1, path=path)
+    model = som.train(rows, 4, 4, 1.5, 0.5, 1, method="batch", epochs=2, path=path)
+    return model.to_frame(spark).select("i", "j", F.posexplode("w").alias("dim", "w")).withColumn("w", _r(F.col("w").cast("double"), 4))
 
 
 # ---- clusters --------------------------------------------------------------------------------------------------------
@@ -495,6 +626,15 @@ def cluster_analyze(spark, sf_dir):
     return clusters.analyze(units, cells, raw, _SIDE, 2, 0.05, LEGACY)[0].drop("_row_id")
 
 
+@query(ORACLES["cluster_analyze"])
+def cluster_fused(spark, sf_dir):
+    """The same analysis without a join or shuffle of rows: unit and label are looked up where the row lies."""
+    hits, model = _hits(spark, sf_dir), _model(spark, sf_dir)
+    of_unit = clusters.unit_labels(hits, lattice.label_lattice(hits, _SIDE, _THRESHOLD), _SIDE, 2, 0.05, LEGACY)
+    rows = _table(spark, sf_dir, "embeddings").withColumn("features", F.col("embedding").cast("array<double>"))
+    return clusters.label_rows(rows, model, of_unit).select("vec_id", "label", F.col("cluster").alias("CLUSTER_SOM"))
+
+
 _SIZES = "n AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1)"
 _VALID = (
     _SIZES
@@ -669,36 +809,69 @@ def quality_all(spark, sf_dir):
 
 
 @query(
-    """SELECT v::DOUBLE AS value, CASE WHEN v > 0.7 THEN 'strong' WHEN v > 0.5 THEN 'reasonable' WHEN v > 0.25 THEN 'weak' ELSE 'none' END AS separation,
-    CASE WHEN v > 0.7 THEN 'balanced' WHEN v > 0.5 THEN 'moderate' ELSE 'unbalanced' END AS evenness FROM (SELECT k / 20.0::DOUBLE AS v FROM range(-20, 21) t(k))"""
+    """SELECT event_id, v AS value, CASE WHEN v > 0.7 THEN 'strong' WHEN v > 0.5 THEN 'reasonable' WHEN v > 0.25 THEN 'weak' ELSE 'none' END AS separation,
+    CASE WHEN v > 0.7 THEN 'balanced' WHEN v > 0.5 THEN 'moderate' ELSE 'unbalanced' END AS evenness FROM (SELECT event_id, (user_id % 41 - 20) / 20.0::DOUBLE AS v FROM events)"""
 )
 def quality_labels(spark, sf_dir):
-    v = spark.range(-20, 21).select((F.col("id") / 20.0).alias("value"))
-    return v.select("value", scalar.silhouette_label(F.col("value")).alias("separation"), scalar.balance_label(F.col("value")).alias("evenness"))
+    """Words for a value of each event, from -1 to 1, with all limits among them."""
+    v = _table(spark, sf_dir, "events").select("event_id", ((F.col("user_id") % 41 - 20) / 20.0).alias("value"))
+    return v.select("event_id", "value", scalar.silhouette_label(F.col("value")).alias("separation"), scalar.balance_label(F.col("value")).alias("evenness"))
 
 
 # ---- search ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM " + " CROSS JOIN ".join(f"(VALUES {', '.join(f'({v}{"::BIGINT" if isinstance(v, int) else "::DOUBLE"})' for v in vs)}) t_{k}({k})" for k, vs in FAST_GRID.items()))
+@query("SELECT * FROM (SELECT DISTINCT p_size AS som_x FROM part WHERE p_size <= 4), (SELECT DISTINCT l_linenumber AS som_y FROM lineitem), (SELECT DISTINCT l_tax AS sigma FROM lineitem), (SELECT DISTINCT l_discount AS learning_rate FROM lineitem)")
 def tune_grid(spark, sf_dir):
-    return tune.grid_frame(spark, FAST_GRID)
+    """All combinations of the values that columns hold."""
+    part, lines = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "lineitem")
+    values = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())  # noqa: E731  some tens
+    return tune.grid_frame(
+        spark, {"som_x": values(part.where("p_size <= 4"), "p_size"), "som_y": values(lines, "l_linenumber"), "sigma": values(lines, "l_tax"), "learning_rate": values(lines, "l_discount")}
+    ).select(F.col("som_x").cast("int").alias("som_x"), F.col("som_y").cast("int").alias("som_y"), "sigma", "learning_rate")
 
 
 @query(
-    """SELECT q::DOUBLE / 4 AS qe, t::DOUBLE / 10 AS te, s::DOUBLE / 5 AS silhouette, round(0.4 / (1 + q::DOUBLE / 4) + 0.3 / (1 + t::DOUBLE / 10) + 0.3 * s::DOUBLE / 5, 6) AS score
-    FROM range(6) a(q) CROSS JOIN range(6) b(t) CROSS JOIN range(-2, 6) c(s)"""
+    """SELECT l_orderkey, l_linenumber, round(0.4::DOUBLE / (1 + l_quantity) + 0.3::DOUBLE / (1 + l_tax) + 0.3::DOUBLE * (l_discount * 20 - 1), 6) AS score FROM lineitem"""
 )
 def tune_score(spark, sf_dir):
-    every = lambda name, lo, hi, by: spark.range(lo, hi, 1, 1).select((F.col("id") / by).alias(name))
-    rows = every("qe", 0, 6, 4).crossJoin(every("te", 0, 6, 10)).crossJoin(every("silhouette", -2, 6, 5))
-    return rows.withColumn("score", _r(tune.composite(F.col("qe"), F.col("te"), F.col("silhouette"))))
+    """The composite score of a row's quantity as quantization error, tax as topographic error, and discount as silhouette."""
+    rows = _table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", _r(tune.composite(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount") * 20 - 1)).alias("score"))
 
 
-@query()
+_SEARCHED = {"som_x": [3], "som_y": [3, 4], "sigma": [0.8, 1.0], "learning_rate": [0.3], "iterations": [100]}
+
+
+@query(
+    f"""WITH RECURSIVE maps AS (SELECT (row_number() OVER (ORDER BY y, sigma) - 1)::INT AS o, 3 AS x, y, sigma, 0.3::DOUBLE AS rate, 100 AS n FROM (VALUES (3), (4)) a(y) CROSS JOIN (VALUES (0.8::DOUBLE), (1.0::DOUBLE)) b(sigma) ORDER BY y, sigma LIMIT 3),
+    {_online("maps")},
+    d AS (SELECT o, vec_id, list_transform(cb, lambda w: list_distance(embedding::DOUBLE[], w)) AS d FROM fin CROSS JOIN embeddings),
+    u AS MATERIALIZED (SELECT o, y, vec_id, list_min(d) AS d1, list_position(d, list_min(d)) - 1 AS k1, list_position(d, list_sort(d)[2]) - 1 AS k2 FROM d JOIN maps USING (o)),
+    e AS (SELECT o, avg(d1) AS q, avg(CASE WHEN greatest(abs(k1 // y - k2 // y), abs(k1 % y - k2 % y)) > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t FROM u GROUP BY 1),
+    hits AS (SELECT o, y, k1 AS k, count(*) AS n FROM u GROUP BY ALL),
+    mask AS MATERIALIZED (SELECT o, y, k FROM hits QUALIFY n / max(n) OVER (PARTITION BY o) > {pipeline.CANONICAL.density_threshold}),
+    reach(o, k, root) AS (SELECT o, k, k FROM mask UNION SELECT m.o, m.k, r.root FROM reach r JOIN mask s ON s.o = r.o AND s.k = r.k JOIN mask m ON m.o = s.o AND abs(m.k // m.y - s.k // s.y) + abs(m.k % m.y - s.k % s.y) = 1),
+    roots AS (SELECT o, k, min(root) AS c FROM reach GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT u.o, u.vec_id, c, embedding::DOUBLE[] AS v FROM u JOIN roots r ON r.o = u.o AND r.k = u.k1 JOIN embeddings USING (vec_id)),
+    p AS (SELECT a.o, a.vec_id, a.c, b.c AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n FROM l a JOIN l b USING (o) GROUP BY ALL),
+    s AS (SELECT o, vec_id, max(CASE WHEN other = c AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN other <> c THEN total / n END) AS b FROM p GROUP BY 1, 2),
+    z AS (SELECT o, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS s FROM s GROUP BY 1)
+    SELECT o AS ordinal, y AS som_y, sigma, round(q, 6) AS q_error, round(t, 6) AS t_error, round(0.4::DOUBLE / (1 + q) + 0.3::DOUBLE / (1 + t) + 0.3::DOUBLE * coalesce(z.s, 0), 6) AS score FROM e JOIN maps USING (o) LEFT JOIN z USING (o)"""
+)
 def tune_search(spark, sf_dir):
-    params = {"som_x": [3], "som_y": [3, 4], "sigma": [0.8, 1.0], "learning_rate": [0.3], "iterations": [100]}
-    return tune.history_frame(spark, tune.search(_rows(spark, sf_dir), params, 3)[1])
+    """Three of four combinations, scored."""
+    history = tune.history_frame(spark, tune.search(_rows(spark, sf_dir), _SEARCHED, 3)[1])
+    return history.select("ordinal", F.col("params")["som_y"].cast("int").alias("som_y"), F.col("params")["sigma"].alias("sigma"), *[_r(c).alias(c) for c in ("q_error", "t_error", "score")])
+
+
+@query(f"SELECT arg_max(som_y, (score, -ordinal)) AS som_y, arg_max(sigma, (score, -ordinal)) AS sigma, max(score) AS score FROM ({ORACLES['tune_search']})")
+def tune_best(spark, sf_dir):
+    """The search resumed from its own history: a budget of one, then of three; the best of it."""
+    path, rows = _place(spark, "history"), _rows(spark, sf_dir)
+    tune.search(rows, _SEARCHED, 1, history_path=path)
+    found = tune.best(tune.history_frame(spark, tune.search(rows, _SEARCHED, 3, history_path=path)[1]))
+    return found.select(F.col("params")["som_y"].cast("int").alias("som_y"), F.col("params")["sigma"].alias("sigma"), _r("score").alias("score"))
 
 
 # ---- the whole analysis ----------------------------------------------------------------------------------------------
@@ -721,5 +894,8 @@ def incidents(spark, sf_dir) -> DataFrame:
 
 @query()
 def pipeline_end_to_end(spark, sf_dir):
+    """Labelled rows, with the measures of the whole in columns of their own."""
     got = pipeline.cluster_rows(incidents(spark, sf_dir), LEGACY, map_size=6, iterations=300)
-    return got["rows"]
+    pipeline.release(got)
+    names = ("silhouette", "calinski_harabasz", "davies_bouldin", "balance", "som_quality")
+    return got["rows"].withColumns({n: F.lit(got["metrics"].get(n)).cast("double") for n in names})

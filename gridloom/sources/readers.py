@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.config import SEED
 from gridloom.functions import scalar
-from gridloom.functions.sampling import sample_fraction
+from gridloom.functions.sampling import sample_numbered
+from gridloom.sources import delimited
 
 ROW_ID = "_row_id"
 
@@ -19,21 +20,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_text_columns(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """All columns as text: UTF-8, or Latin-1 where bytes are not UTF-8. A quote within quotes is doubled.
-
-    One pass over the lines' bytes decides on the encoding, and on whether line breaks lie within quotes: only then is a
-    file read as one piece.
-    """
-    if not path_exists(spark, path):
-        raise FileNotFoundError(path)
-    odd = F.count_if(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
-    broken, open_quotes = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")), odd).first()
-    reader = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
-    reader = reader.option("encoding", "ISO-8859-1" if broken else "UTF-8").option("multiLine", open_quotes > 0)
-    return reader.csv(path)
-
-
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Type of each text column over all rows: long, double (also longs with nulls), boolean or string; one pass."""
     asks = []
@@ -57,20 +43,27 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns that have a type in `types` cast to it, others as they are."""
     cols = []
     for c in df.columns:
-        v = scalar.null_tokens(F.col(f"`{c}`"))
-        kind = types[c]
+        if c not in types:
+            cols.append(F.col(f"`{c}`"))
+            continue
+        v, kind = scalar.null_tokens(F.col(f"`{c}`")), types[c]
         cols.append((v if kind == "string" else scalar.to_number(v) if kind == "double" else F.trim(v).try_cast(kind)).alias(c))
     return df.select(*cols)
 
 
 def load(spark: SparkSession, path: str, sample_frac: float | None = None, sep: str = ";", seed: int = SEED) -> DataFrame:
-    """Typed rows with `_row_id`, the identity by which labels are joined back; optionally an exact sample."""
-    raw = read_text_columns(spark, path, sep)
-    types = infer_types(raw)
-    out = typed(raw, types).withColumn(ROW_ID, F.monotonically_increasing_id())
-    return sample_fraction(out, sample_frac, seed, ROW_ID)
+    """Typed rows with `_row_id`, their number in the file, by which labels are joined back; optionally an exact sample.
+
+    Types are those of all rows. Numbers, and so the sampled rows, are the same however the file is split.
+    """
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    raw, n = delimited.read_columns(spark, path, sep, ROW_ID)
+    types = infer_types(raw.drop(ROW_ID))
+    return sample_numbered(typed(raw, types), n, sample_frac, seed, ROW_ID)
 
 
 def vectors(df: DataFrame, column: str, key: str) -> DataFrame:
