@@ -9,7 +9,7 @@ still possible is ranked again by distances of the original vectors.
 
 The width of the windows is measured, not set: for a bounded number of probes the true neighbours are found by one pass
 over all rows, and the window is what holds TARGET of them in some ordering. Vectors of little structure need windows of
-a part of all rows, whatever the index; the block grows with the window, so that a query is sent to nine blocks an
+a part of all rows, whatever the index; the block grows with the window, so that a query is sent to five blocks an
 ordering at most.
 
 Equal vectors are indexed once, under their smallest id, and expanded in the result, so copies cost nothing and their
@@ -44,20 +44,20 @@ MOST_BLOCKS = 1_000_000
 PRODUCT = 1 << 21
 
 
-def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v, k1, k2): the rows that take part, with two hashes of the vector; see the module for what stays out."""
-    v = F.transform(F.col(column).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, int]:
+    """((id, v, k1, k2) of the rows that take part, length of the vectors); k1 and k2 are hashes of the vector."""
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    rows = rows.where(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size("v") == F.lit(common[0] if common else 0))
-    rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    dim = common[0] if common else 0
+    plain = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
+    rows = rows.where(F.size("v") == dim).withColumns({"k1": F.xxhash64(plain), "k2": F.xxhash64(F.lit(1), plain)})
     hashes = F.struct("k1", "k2")
     again = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(hashes).alias("one")).where("n > 1").select("id", "one"), "ann-repeated")
     if again.isEmpty():
-        return rows
+        return rows, dim
     few = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
-    return rows.join(few, "id", "left_anti").unionByName(rows.join(few, "id").where(hashes == F.col("one")).drop("one").dropDuplicates(["id"]))
+    return rows.join(few, "id", "left_anti").unionByName(rows.join(few, "id").where(hashes == F.col("one")).drop("one").dropDuplicates(["id"])), dim
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -183,21 +183,19 @@ class _Near:
     """Queries of a block, and the rows met so far that may be among their k nearest."""
 
     def __init__(self, k: int):
-        self.k, self.ids, self.data = k, [], []
-        self.q = None
+        self.k, self.asked = k, []
+        self.q: np.ndarray | None = None
         self.found: list[tuple] = []
 
     def ask(self, ids: np.ndarray, data: list[bytes]) -> None:
-        self.ids.append(ids)
-        self.data.append(np.frombuffer(b"".join(data), np.float64).reshape(len(ids), -1))
+        self.asked.append((ids, np.frombuffer(b"".join(data), np.float64).reshape(len(ids), -1)))
 
     def meet(self, ids: np.ndarray, data: list[bytes], scale: np.ndarray, miss: np.ndarray) -> None:
+        if not self.asked:
+            return
         if self.q is None:
-            self.ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int64)
-            self.q = np.concatenate(self.data) if self.data else None
+            self.ids, self.q = (np.concatenate(x) for x in zip(*self.asked, strict=True))
             self.best = np.full((len(self.ids), self.k), np.inf)
-        if not len(self.ids):
-            return
         x = np.frombuffer(b"".join(data), np.int8).reshape(len(ids), -1) * scale[:, None]
         most = max(1, PRODUCT // len(self.ids))
         for at in range(0, len(ids), most):
@@ -214,7 +212,7 @@ class _Near:
             return None
         i, ids, lower, upper = (np.concatenate(c) for c in zip(*self.found, strict=True))
         keep = lower <= self.best.max(axis=1)[i]
-        cols = [pa.array(np.asarray(self.ids)[i[keep]], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(lower[keep]), pa.array(upper[keep])]
+        cols = [pa.array(self.ids[i[keep]], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(lower[keep]), pa.array(upper[keep])]
         return pa.RecordBatch.from_arrays(cols, ["query", "id", "lower", "upper"])
 
 
@@ -261,18 +259,19 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that `asks`, nearest first, ties to the smaller id."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_column, column)
+    rows, dim = usable(vectors, id_column, column)
     ids = rows.select("id", "k1", "k2")
     copies = ids.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.max(asks(F.col("id"))).alias("any"))
     copies = materialize(copies.where("n > 1").select("k1", "k2", "first", "any"), "ann-copies")
-    small = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
-    known = rows.join(small, ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("id")))
-    known = known.select("id", "v", F.coalesce("any", asks(F.col("id"))).alias("asks"))
+    n_copied = copies.count()
+    small = F.broadcast(copies) if n_copied <= BROADCAST_KEYS else copies
+    known = rows.select("id", "v", asks(F.col("id")).alias("asks"))
+    if n_copied:
+        known = rows.join(small, ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("id"))).select("id", "v", F.coalesce("any", asks(F.col("id"))).alias("asks"))
 
     n = known.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(known.select("v").first()[0])
     size = max(2 * PROBES, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
     h = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1 << 30))
     sample = known.where(h < int(min(1.0, 2 * size / n) * (1 << 30))).select("id", "v").orderBy(h, "id").limit(size).toArrow()
@@ -280,7 +279,7 @@ def search(
     curves = Curves.fit(x, orderings, DIMS, BITS)
     places = ranked(known, curves)
     w = max(least_window, window(known, places, own[:PROBES], x[:PROBES], k, target))
-    rows_in_block = max(least_block, w // 4, -(-n * orderings // MOST_BLOCKS))
+    rows_in_block = max(least_block, w // 2, -(-n * orderings // MOST_BLOCKS))
     firsts = places.where(F.col("rank") % rows_in_block == 0).select("o", "key", "id").toArrow()
     sent = _block_rows(known, curves, Blocks(firsts), -(-w // rows_in_block))
     met = materialize(_met(sent, k), "ann-met")
