@@ -83,12 +83,12 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> tuple[list[tuple
     while any(x is None for x in done):
         rounds += 1
         pending = list(dict.fromkeys((s[0], s[1]) for s, x in zip(state, done, strict=True) if x is None))
-        counts = _count(keys, [p[0] for p in pending])
+        counts, place = _count(keys, [p[0] for p in pending]), {p: i for i, p in enumerate(pending)}
         for j, ((interval, below, goal), x) in enumerate(zip(state, done, strict=True)):
             if x is not None:
                 continue
             cum, last = below, None
-            for mass, lo_h, hi_h, lo_d, hi_d in counts[pending.index((interval, below))]:
+            for mass, lo_h, hi_h, lo_d, hi_d in counts[place[interval, below]]:
                 if abs(cum + mass - goal) <= slack:
                     done[j] = (hi_h, hi_d if lo_h == hi_h else 2**63 - 1)
                     break
