@@ -4,9 +4,10 @@ Terms are lower-cased runs of letters and digits, and their first 4 to 7 bytes,
 share a term; a document has a term or not. Linear weights alone miss pairs such as an insult with a group mention, so
 each term also has a factor vector and every pair of present terms adds the product of its vectors.
 
-The vocabulary is what separates labelled toxic documents from clean ones (likelihood ratio over a bounded sample of
-labelled rows outside the held-out fold, every term that LEAST_TOXIC of its toxic documents hold); the machine is fitted
-on the driver on the terms above LEAST_RATIO, and its arrays go to the tasks. Whole texts are scored where they are read: no text is shuffled.
+The vocabulary is what separates labelled toxic documents from clean ones: Spark counts all terms of a bounded sample of
+labelled rows outside the held-out fold and keeps those that LEAST_TOXIC of its toxic documents hold and whose likelihood
+ratio is LEAST_RATIO or more; only these reach the driver, where the machine is fitted, and its arrays go to the tasks.
+Whole texts are scored where they are read: no text is shuffled.
 
 Null, empty and blank texts: no terms, the score is that of the bias. Null doc_id: scored; held_out is null. No usable
 labels: every score is the prior. Empty table: no rows. Extra columns are ignored, and kept by `reject`.
@@ -130,14 +131,13 @@ def train(docs: list[np.ndarray], y: np.ndarray, n_terms: int, epochs: int = 30,
     return bias, w, v
 
 
-def _counted(texts: DataFrame, keep: np.ndarray | None) -> DataFrame:
-    """Documents that have each term, by label."""
-    sent = texts.sparkSession.sparkContext.broadcast(keep)
+def _counted(texts: DataFrame) -> DataFrame:
+    """(t, toxic, n): toxic documents, and all, that have each term; the terms of a slice of texts come summed."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b["y"].to_numpy()
-            for a, stop, doc, term in _sliced(b["text"], sent.value):
+            for a, stop, doc, term in _sliced(b["text"], None):
                 t, at = np.unique(term, return_inverse=True)
                 toxic = np.bincount(at, y[a:stop][doc], len(t)).astype(np.int64)
                 both = np.bincount(at, minlength=len(t)).astype(np.int64)
@@ -147,14 +147,15 @@ def _counted(texts: DataFrame, keep: np.ndarray | None) -> DataFrame:
     return texts.select("y", "text").mapInArrow(rows, "t long, toxic long, n long").groupBy("t").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
-def _ratio(a: np.ndarray, n: np.ndarray, toxic: int, total: int) -> np.ndarray:
-    """Likelihood ratio of the two-by-two table: documents with the term, toxic documents."""
+def separating(counts: DataFrame, toxic: int, total: int) -> DataFrame:
+    """(t): terms of at least LEAST_TOXIC toxic documents, commoner there, with a likelihood ratio of LEAST_RATIO or more.
 
-    def part(x, e):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
-
-    cells = ((a, n * toxic / total), (n - a, n * (total - toxic) / total), (toxic - a, (total - n) * toxic / total), (total - toxic - n + a, (total - n) * (total - toxic) / total))
-    return 2 * sum(part(x, e) for x, e in cells)
+    The ratio is that of the two-by-two table of documents with the term and toxic documents.
+    """
+    a, n = F.col("toxic"), F.col("n")
+    cells = ((a, n * toxic), (n - a, n * (total - toxic)), (toxic - a, (total - n) * toxic), (total - toxic - n + a, (total - n) * (total - toxic)))
+    ratio = sum((F.when(x > 0, 2 * x * F.log(x * total / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+    return counts.where((a >= LEAST_TOXIC) & (a * total > n * toxic) & (ratio >= LEAST_RATIO)).select("t")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
@@ -165,14 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     toxic, total = sizes.get(1, 0), sum(sizes.values())
     vocabulary = np.zeros(0, np.uint64)
     if toxic and toxic < total:
-        first = _counted(texts.where("y = 1"), None).where(F.col("toxic") >= LEAST_TOXIC).toArrow()
-        candidates = np.sort(first["t"].to_numpy().view(np.uint64))
-        got = _counted(texts, candidates).toArrow()
-        at, a, n = (got[c].to_numpy() for c in ("t", "toxic", "n"))
-        order = np.argsort(at)
-        at, a, n = at[order], a[order].astype(float), n[order].astype(float)
-        ratio = np.where(a / toxic > n / total, _ratio(a, n, toxic, total), 0)
-        vocabulary = np.sort(candidates[at[ratio >= LEAST_RATIO]])
+        vocabulary = np.sort(separating(_counted(texts), toxic, total).toArrow()["t"].to_numpy().view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -404,7 +404,7 @@ def auc(score, y):
     return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))
 
 
-@pytest.mark.parametrize(("module", "label", "least", "recall"), [(op6_quality, "quality", 0.99, 0.97), (op7_toxicity, "toxic", 0.95, 0.88)])
+@pytest.mark.parametrize(("module", "label", "least", "recall"), [(op6_quality, "quality", 0.99, 0.97), (op7_toxicity, "toxic", 0.95, 0.9)])
 def test_classifiers(spark, module, label, least, recall):
     """Held-out labels: how scores rank, and what the thresholds catch and leave alone."""
     path = "/root/testdata/sf0.1"
