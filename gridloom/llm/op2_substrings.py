@@ -3,10 +3,12 @@
 Edges of the graph are the texts' runs of 13 words. They are dealt out by minimizer (the smallest of a window's hashes of
 five words), so that all occurrences of an edge meet in one bucket, and a run of windows with one minimizer travels as
 one packed record. Within a bucket an edge seen in a document and in one with a smaller id is a repeat; repeats that
-continue each other in the document and in the source without branching compact into paths. Spark then joins the paths
-of all buckets end to start (`glue`): one continues another where it begins at the other's end both in the document and
-in the source, so a long span stands only as far as its source's coordinates advance with the document's. Every word
-covered by a path is removed from the later document, in the join of the spans with the texts.
+continue each other in the document and in the source without branching compact into paths. Spark then puts the paths of
+all buckets together end to start (`glue`): one continues another where it begins at the other's end both in the document
+and in the source, so a long span stands only as far as its source's coordinates advance with the document's. That is one
+window over the pieces of a document and source in order of place, in the stead of joins repeated until nothing grows;
+coordinates are compared there, not words. Every word covered by a path is removed from the later document, in the join
+of the spans with the texts.
 
 Windows are equal when minimizer (47 bits or more with the bucket) and window hash (8 * WINDOW_BYTES bits) are equal, two
 independent hashes; a corpus of many terabytes should set WINDOW_BYTES to 8. The words of sources are not read again:
