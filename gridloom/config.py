@@ -38,8 +38,7 @@ class Profile:
     map_size: int | None = 20  # None: by number of rows
     full_budget: int = 15
     fast_budget: int | None = 8
-    guard_zero_map: bool = True
 
 
 CANONICAL = Profile()
-LEGACY = Profile(0.3, None, 0.01, False, 5000, None, 20, None, False)
+LEGACY = Profile(0.3, None, 0.01, False, 5000, None, 20, None)

@@ -155,12 +155,13 @@ def _nearest_sparse(column: pa.StructArray, flat: np.ndarray) -> tuple[np.ndarra
     return k1, d1, k2
 
 
-def _units(column: pa.Array, flat: np.ndarray, rows_at_once: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _units(column: pa.Array, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`nearest` of the vectors of a batch, some at a time."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sparse, parts = pa.types.is_struct(column.type), []
-    for at in range(0, len(column), rows_at_once // 16 if sparse else rows_at_once):
-        part = column.slice(at, rows_at_once // 16 if sparse else rows_at_once)
+    at_once = min(4096, batch_size(1 << 40, len(flat))) // (16 if sparse else 1)
+    for at in range(0, len(column), at_once):
+        part = column.slice(at, at_once)
         # A slice's fields keep their offsets only through the array's own accessors.
         parts.append(_nearest_sparse(pa.StructArray.from_arrays(part.flatten(), ["size", "at", "value"]), flat) if sparse else nearest(_matrix(part), flat))
     empty = np.zeros(0, np.int64)

@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.config import AGES, FILL, LEGACY, OTHER, PERIODS
+from gridloom.config import AGES, FALLBACK, FILL, LEGACY, OTHER, PERIODS, SIZE_PRESETS, Profile
 from gridloom.functions import quantiles, sampling, scalar
-from gridloom.operators import charts, clusters, encode, lattice, metrics, profile, som, tune
+from gridloom.operators import charts, clusters, encode, features, lattice, metrics, profile, som, tune
 from gridloom.plans import pipeline
 from gridloom.sources import readers, writers
 
@@ -293,6 +293,26 @@ def feat_has_coords(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", scalar.has_coordinates(lat, lon).alias("has_coordinates"))
 
 
+@query(
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts::DATE + 20 END AS d FROM events), f AS (SELECT day(arg_min(d, event_id)) > 12 AS day_first FROM e WHERE d IS NOT NULL)
+    SELECT event_id, CASE WHEN day_first OR day(d) = month(d) THEN d WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) END AS day FROM e, f"""
+)
+def feat_infer_date(spark, sf_dir):
+    """Dates written day first, read by the format of the first one: month first where that fits it."""
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("_row_id"), F.when(F.col("event_id") % 7 != 0, F.date_format(F.date_add(F.col("ts").cast("date"), 20), "dd/MM/yyyy")).alias("text"))
+    fmt = features.infer_date_format(rows, "text")
+    return rows.select(F.col("_row_id").alias("event_id"), scalar.to_timestamp(F.col("text"), fmt).cast("date").alias("day"))
+
+
+@query(f"SELECT c_custkey AS _row_id, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS IDADE_PESSOA, {_case('CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END', AGES)} AS FAIXA_ETARIA, c_mktsegment AS UF FROM customer")
+def feat_blocks(spark, sf_dir):
+    """The features of a table that has an age and a category, and neither date, hour nor whole coordinates."""
+    rows = _table(spark, sf_dir, "customer")
+    age = F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal").cast("string")).otherwise("unknown")
+    rows = rows.select(F.col("c_custkey").alias("_row_id"), age.alias("IDADE_PESSOA"), F.col("c_mktsegment").alias("UF"), F.lit("1.5").alias("LATITUDE"), "c_name")
+    return features.engineer(rows)[0]
+
+
 # ---- encoding --------------------------------------------------------------------------------------------------------
 
 _NAMES = f"SELECT 'p_name' AS \"column\", coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_name END, '{FILL}') AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part"
@@ -348,6 +368,21 @@ def enc_standardize(spark, sf_dir):
     return rows.select("_row_id", *[_r(encode.numeric_value(fitted, c), 4).alias(c) for c in fitted.numeric])
 
 
+@query(
+    f"""WITH n AS (SELECT round(sum(balance), 2) AS balance, round(sum(nation), 2) AS nation FROM ({ORACLES["enc_standardize"]})), g AS (SELECT 'segment_' || coalesce(segment, '{FILL}') AS name, count(*)::DOUBLE AS total FROM ({_CUSTOMER}) GROUP BY ALL)
+    SELECT name, total FROM g UNION ALL SELECT 'cells', count(*) * (2 + (SELECT count(*) FROM g))::DOUBLE FROM ({_CUSTOMER})"""
+)
+def enc_dense(spark, sf_dir):
+    """Rows encoded by what is not 0, as vectors again: totals of the one-hot columns, and the number of cells."""
+    rows = _customer(spark, sf_dir)
+    fitted = encode.fit(rows)
+    full = encode.dense(encode.transform_sparse(rows, fitted), len(fitted.names))
+    names = F.array(*[F.lit(n) for n in fitted.names])
+    cells = full.select(F.posexplode("features").alias("at", "value"))
+    totals = cells.where(F.col("at") >= len(fitted.numeric)).groupBy("at").agg(F.sum(F.col("value").cast("double")).alias("total")).select(F.get(names, "at").alias("name"), "total")
+    return totals.unionByName(cells.agg(F.lit("cells").alias("name"), F.count(F.lit(1)).cast("double").alias("total")).select("name", "total"))
+
+
 @query(ORACLES["enc_standardize"])
 def enc_artefacts(spark, sf_dir):
     """What a fit learnt, written as JSON, read back and applied."""
@@ -551,19 +586,19 @@ def som_batch_epoch(spark, sf_dir):
 
 
 _DRAW = "(('0x' || md5('42:' || k || ':' || j)[1:15])::BIGINT::DOUBLE / 2::DOUBLE ** 59 - 1)"
-#: Rows in the order that training takes them, as long as there are more rows than steps.
-_STEPS = f"steps AS MATERIALIZED (SELECT embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY {_HASH.format('vec_id')}, vec_id) - 1 AS t FROM embeddings)"
+_EMBEDDED = "rows AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 def _first_codebooks(maps: str) -> str:
     """Codebooks that trainings start with, one row for each row (o, x, y, ...) of `maps`: units by rows, of unit length."""
-    return f"""draws AS (SELECT o, k, list({_DRAW} ORDER BY j) AS w FROM {maps}, range(x * y) a(k), range(64) b(j) GROUP BY o, k),
+    return f"""draws AS (SELECT o, k, list({_DRAW} ORDER BY j) AS w FROM {maps}, (SELECT max(len(v)) AS d FROM rows), range(x * y) a(k), range(d) b(j) GROUP BY o, k),
     start AS MATERIALIZED (SELECT o, list(list_transform(w, lambda v: v / sqrt(list_sum(list_transform(w, lambda z: z * z)))) ORDER BY k) AS cb FROM draws GROUP BY o)"""
 
 
 def _online(maps: str) -> str:
-    """Trained codebooks `fin` (o, cb): the online update, one recursion a step. maps: (o, x, y, sigma, rate, n)."""
-    return f"""{_STEPS}, {_first_codebooks(maps)},
+    """Codebooks `fin` (o, cb) trained on `rows` (id, v): the online update, one recursion a step, as long as there are more
+    rows than steps. maps: (o, x, y, sigma, rate, n)."""
+    return f"""steps AS MATERIALIZED (SELECT v AS x, row_number() OVER (ORDER BY {_HASH.format("id")}, id) - 1 AS t FROM rows), {_first_codebooks(maps)},
     train(o, t, cb) AS (SELECT o, 0::BIGINT, cb FROM start UNION ALL
       SELECT o, t + 1, list_transform(cb, lambda w, i: list_transform(w, lambda v, j: v + rate * exp(-(((i - 1) // y - k // y) ** 2 + ((i - 1) % y - k % y) ** 2) / (2 * sigma * sigma)) * (x[j] - v)))
       FROM (SELECT g.o, g.t, g.cb, s.x, c.y, c.sigma, c.rate, list_position(g.d, list_min(g.d)) - 1 AS k
@@ -572,7 +607,7 @@ def _online(maps: str) -> str:
 
 
 @query(
-    f"""WITH RECURSIVE maps AS (SELECT 0 AS o, 5 AS x, 5 AS y, 1.0::DOUBLE AS sigma, 0.5::DOUBLE AS rate, 500 AS n), {_online("maps")},
+    f"""WITH RECURSIVE {_EMBEDDED}, maps AS (SELECT 0 AS o, 5 AS x, 5 AS y, 1.0::DOUBLE AS sigma, 0.5::DOUBLE AS rate, 500 AS n), {_online("maps")},
     units AS (SELECT unnest(cb) AS w, generate_subscripts(cb, 1) - 1 AS k FROM fin), cells AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS dim FROM units)
     SELECT (k // 5)::INT AS i, (k % 5)::INT AS j, dim::INT AS dim, round(w, 4) AS w FROM cells"""
 )
@@ -591,7 +626,7 @@ def _epoch(name: str, before: str, y: int, sigma: float) -> str:
 
 
 @query(
-    f"""WITH maps AS (SELECT 0 AS o, 4 AS x, 4 AS y), {_first_codebooks("maps")}, e0 AS MATERIALIZED (SELECT unnest(cb) AS w, generate_subscripts(cb, 1) - 1 AS k FROM start),
+    f"""WITH {_EMBEDDED}, maps AS (SELECT 0 AS o, 4 AS x, 4 AS y), {_first_codebooks("maps")}, e0 AS MATERIALIZED (SELECT unnest(cb) AS w, generate_subscripts(cb, 1) - 1 AS k FROM start),
     {_epoch("e1", "e0", 4, 1.5)}, {_epoch("e2", "e1", 4, 1.5 * som.SHRINK)},
     cells AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS dim FROM e2)
     SELECT (k // 4)::INT AS i, (k % 4)::INT AS j, dim::INT AS dim, round(w::FLOAT::DOUBLE, 4) AS w FROM cells"""
@@ -604,12 +639,65 @@ def som_train_batch(spark, sf_dir):
     return model.to_frame(spark).select("i", "j", F.posexplode("w").alias("dim", "w")).withColumn("w", _r(F.col("w").cast("double"), 4))
 
 
+_PRESETS = "CASE " + " ".join(f"WHEN n > {above} THEN {{{k}}}" for above, k in zip((p[0] for p in SIZE_PRESETS), range(3), strict=True)) + " END"
+
+
+def _preset(column: int) -> str:
+    return _PRESETS.format(*(p[column] for p in SIZE_PRESETS))
+
+
+_COUNTED = ("customer", "orders", "lineitem", "events", "embeddings")
+
+
+@query(
+    f"""WITH c AS ({" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _COUNTED)})
+    SELECT name, n, {_preset(1)}::INT AS side, {_preset(2)}::DOUBLE AS learning_rate, {_preset(3)}::DOUBLE AS sigma, {_preset(4)}::INT AS iterations,
+    greatest(1000, least(100000000 // (4 * {_preset(1)} ** 2)::BIGINT, 10000, n // 10))::BIGINT AS rows_at_once FROM c"""
+)
+def som_preset(spark, sf_dir):
+    """What the size of each table presets."""
+    rows = []
+    for t in _COUNTED:
+        n = _table(spark, sf_dir, t).count()
+        p = som.preset(n)
+        rows.append((t, n, p["som_x"], p["learning_rate"], p["sigma"], p["iterations"], som.batch_size(n, p["som_x"] * p["som_y"])))
+    return spark.createDataFrame(rows, "name string, n long, side int, learning_rate double, sigma double, iterations int, rows_at_once long")
+
+
+@query(
+    f"""WITH RECURSIVE {_EMBEDDED}, maps AS (SELECT 0 AS o, {FALLBACK["som_x"]} AS x, {FALLBACK["som_y"]} AS y, {FALLBACK["sigma"]}::DOUBLE AS sigma, {FALLBACK["learning_rate"]}::DOUBLE AS rate, {FALLBACK["iterations"]} AS n), {_online("maps")},
+    units AS (SELECT unnest(cb) AS w, generate_subscripts(cb, 1) - 1 AS k FROM fin)
+    SELECT (k // {FALLBACK["som_y"]})::INT AS i, (k % {FALLBACK["som_y"]})::INT AS j, round(list_sum(list_transform(w, lambda v: v * v)), 4) AS squares FROM units"""
+)
+def som_fallback(spark, sf_dir):
+    """The small map that a training without enough memory falls back to."""
+    w = som.train_fallback(_rows(spark, sf_dir)).to_frame(spark)
+    return w.select("i", "j", _r(F.aggregate("w", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")), 4).alias("squares"))
+
+
+@query(
+    _with(
+        _LATTICE + "," + _UMATRIX.removeprefix(_BMU + ",") + """, lv AS (SELECT cluster, avg(i) AS row, avg(j) AS col FROM lattice WHERE cluster > 0 GROUP BY 1)""",
+        "SELECT l.i, l.j, h.hits, round(um.u, 6) AS u, l.cluster, round(lv.row, 6) AS row FROM lattice l JOIN hits h USING (i, j) JOIN um USING (i, j) LEFT JOIN lv ON lv.cluster = l.cluster",
+        True,
+    )
+)
+def som_lattice(spark, sf_dir):
+    """Hits, U-matrix, label and label's centre of each cell, by the one call."""
+    found = lattice.analyze(_model(spark, sf_dir), _rows(spark, sf_dir), Profile(density_threshold=_THRESHOLD))
+    cells = found["activation"].join(found["umatrix"], ["i", "j"]).join(found["lattice"], ["i", "j"]).join(lattice.centroids(found["lattice"]).select("cluster", "row"), "cluster", "left")
+    out = spark.createDataFrame(cells.select("i", "j", "hits", _r("u").alias("u"), "cluster", _r("row").alias("row")).collect(), "i int, j int, hits long, u double, cluster int, row double")
+    for name in ("units", "activation"):
+        found[name].unpersist()
+    return out
+
+
 # ---- clusters --------------------------------------------------------------------------------------------------------
 
 
 @query(_with(_LATTICE, "SELECT u._row_id, l.cluster FROM units u JOIN lattice l ON l.i * 4 + l.j = u.k1", True))
 def cluster_assign(spark, sf_dir):
-    units = _units(spark, sf_dir).persist()
+    units = _units(spark, sf_dir)
     return clusters.assign(units, lattice.label_lattice(lattice.activation_map(units, _SIDE, _SIDE), _SIDE, _THRESHOLD), _SIDE)
 
 
@@ -620,7 +708,7 @@ def cluster_assign(spark, sf_dir):
 )
 def cluster_analyze(spark, sf_dir):
     """From units and lattice to labelled rows: assignment, the two largest clusters of 5 % of the rows or more, attachment."""
-    units = _units(spark, sf_dir).persist()
+    units = _units(spark, sf_dir)
     cells = lattice.label_lattice(lattice.activation_map(units, _SIDE, _SIDE), _SIDE, _THRESHOLD)
     raw = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("vec_id").alias("_row_id"))
     return clusters.analyze(units, cells, raw, _SIDE, 2, 0.05, LEGACY)[0].drop("_row_id")
@@ -808,6 +896,26 @@ def quality_all(spark, sf_dir):
     return spark.createDataFrame([tuple(round(got[n], 6) for n in names)], ", ".join(f"{n} double" for n in names))
 
 
+_WORDS = "CASE WHEN {0} > 0.7 THEN 'strong' WHEN {0} > 0.5 THEN 'reasonable' WHEN {0} > 0.25 THEN 'weak' ELSE 'none' END AS separation, CASE WHEN {1} > 0.7 THEN 'balanced' WHEN {1} > 0.5 THEN 'moderate' ELSE 'unbalanced' END AS evenness"
+
+
+@query(f"SELECT *, {_WORDS.format('silhouette', 'balance')} FROM (SELECT silhouette, balance FROM ({ORACLES['quality_silhouette']}), ({ORACLES['quality_balance']}))")
+def quality_interpret(spark, sf_dir):
+    """What the measures of a clustering say, in words."""
+    rows = _quality_rows(spark, sf_dir)
+    s, b = metrics.silhouette(rows).first()[0], metrics.balance(_labels(spark, sf_dir)).first()["balance"]
+    return metrics.interpret(round(s, 6), round(b, 6), spark)
+
+
+@query(f"SELECT * FROM ({ORACLES['quality_ch']}), ({ORACLES['quality_db']})")
+def sink_metrics(spark, sf_dir):
+    """Measures written as JSON and read back."""
+    path, rows = _place(spark, "metrics"), _quality_rows(spark, sf_dir)
+    writers.write_metrics(spark, metrics.calinski_harabasz(rows).first().asDict() | metrics.davies_bouldin(rows).first().asDict(), path)
+    back = writers.read_json(spark, path)
+    return spark.createDataFrame([(round(back["calinski_harabasz"], 6), round(back["davies_bouldin"], 6))], "calinski_harabasz double, davies_bouldin double")
+
+
 @query(
     """SELECT event_id, v AS value, CASE WHEN v > 0.7 THEN 'strong' WHEN v > 0.5 THEN 'reasonable' WHEN v > 0.25 THEN 'weak' ELSE 'none' END AS separation,
     CASE WHEN v > 0.7 THEN 'balanced' WHEN v > 0.5 THEN 'moderate' ELSE 'unbalanced' END AS evenness FROM (SELECT event_id, (user_id % 41 - 20) / 20.0::DOUBLE AS v FROM events)"""
@@ -844,7 +952,7 @@ _SEARCHED = {"som_x": [3], "som_y": [3, 4], "sigma": [0.8, 1.0], "learning_rate"
 
 
 @query(
-    f"""WITH RECURSIVE maps AS (SELECT (row_number() OVER (ORDER BY y, sigma) - 1)::INT AS o, 3 AS x, y, sigma, 0.3::DOUBLE AS rate, 100 AS n FROM (VALUES (3), (4)) a(y) CROSS JOIN (VALUES (0.8::DOUBLE), (1.0::DOUBLE)) b(sigma) ORDER BY y, sigma LIMIT 3),
+    f"""WITH RECURSIVE {_EMBEDDED}, maps AS (SELECT (row_number() OVER (ORDER BY y, sigma) - 1)::INT AS o, 3 AS x, y, sigma, 0.3::DOUBLE AS rate, 100 AS n FROM (VALUES (3), (4)) a(y) CROSS JOIN (VALUES (0.8::DOUBLE), (1.0::DOUBLE)) b(sigma) ORDER BY y, sigma LIMIT 3),
     {_online("maps")},
     d AS (SELECT o, vec_id, list_transform(cb, lambda w: list_distance(embedding::DOUBLE[], w)) AS d FROM fin CROSS JOIN embeddings),
     u AS MATERIALIZED (SELECT o, y, vec_id, list_min(d) AS d1, list_position(d, list_min(d)) - 1 AS k1, list_position(d, list_sort(d)[2]) - 1 AS k2 FROM d JOIN maps USING (o)),
@@ -892,10 +1000,56 @@ def incidents(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+_Z = "({0} - avg({0}) OVER ()) / coalesce(nullif(stddev_pop({0}) OVER (), 0), 1)"
+_TEXTS = ("dia", "mes", "per", "fx", "nat", "cid")
+
+#: The analysis step by step: features, capped levels, scaled and one-hot vectors, training, units, cells, pruned labels.
+_ANALYSIS = f"""inc AS MATERIALIZED (SELECT event_id AS id, year(ts)::DOUBLE AS ano, hour(ts)::DOUBLE AS hora, value % 90 AS lat, (user_id % 180)::DOUBLE AS lon, (user_id % 95)::DOUBLE AS idade,
+      dayname(ts) AS dia, monthname(ts) AS mes, event_type AS nat, 'C' || (user_id % 30) AS raw_cid FROM events),
+    often AS (SELECT raw_cid, row_number() OVER (ORDER BY count(*) DESC, raw_cid) AS r, count(*) OVER () AS levels FROM inc GROUP BY 1),
+    cat AS MATERIALIZED (SELECT inc.*, {_case("hora", PERIODS)} AS per, {_case("idade", AGES)} AS fx, CASE WHEN levels <= 20 OR r <= 15 THEN raw_cid ELSE '{OTHER}' END AS cid FROM inc JOIN often USING (raw_cid)),
+    lv AS (SELECT {", ".join(f"list(DISTINCT {c} ORDER BY {c}) AS {c}_levels" for c in _TEXTS)} FROM cat),
+    z AS (SELECT *, [{", ".join(_Z.format(c) for c in ("ano", "hora", "lat", "lon", "idade"))}] AS numbers FROM cat),
+    rows AS MATERIALIZED (SELECT id, list_transform({"list_concat(" * len(_TEXTS)}numbers{"".join(f", list_transform({c}_levels, lambda l: (l = {c})::INT::DOUBLE))" for c in _TEXTS)}, lambda a: a::FLOAT::DOUBLE) AS v FROM z, lv),
+    maps AS (SELECT 0 AS o, 6 AS x, 6 AS y, 1.0::DOUBLE AS sigma, 0.5::DOUBLE AS rate, 300 AS n), {_online("maps")},
+    dist AS (SELECT id, list_transform(cb, lambda w: list_distance(v, w)) AS d FROM rows CROSS JOIN fin),
+    u AS MATERIALIZED (SELECT id, list_min(d) AS d1, list_position(d, list_min(d)) - 1 AS k FROM dist),
+    hits AS (SELECT k, count(*) AS n FROM u GROUP BY 1),
+    mask AS MATERIALIZED (SELECT k FROM hits WHERE n / (SELECT max(n) FROM hits) > {LEGACY.density_threshold}),
+    reach(k, root) AS (SELECT k, k FROM mask UNION SELECT m.k, r.root FROM reach r JOIN mask s ON s.k = r.k JOIN mask m ON abs(m.k // 6 - s.k // 6) + abs(m.k % 6 - s.k % 6) = 1),
+    roots AS (SELECT k, dense_rank() OVER (ORDER BY min(root)) AS c FROM reach GROUP BY k),
+    big AS (SELECT c FROM (SELECT c, sum(n) AS n FROM roots JOIN hits USING (k) GROUP BY 1) WHERE n >= floor((SELECT sum(n) FROM hits) * {LEGACY.default_ratio}) ORDER BY n DESC, c LIMIT 12),
+    lab AS MATERIALIZED (SELECT id, d1, coalesce(big.c, 0)::INT AS c FROM u LEFT JOIN roots USING (k) LEFT JOIN big ON big.c = roots.c)"""
+
+
+def _analysis(spark, sf_dir, measure: bool) -> dict:
+    return pipeline.cluster_rows(incidents(spark, sf_dir), LEGACY, map_size=6, iterations=300, measure=measure)
+
+
+@query(f"WITH RECURSIVE {_ANALYSIS} SELECT id AS _row_id, nat AS NATUREZA_APURADA, raw_cid AS CIDADE, c AS CLUSTER_SOM FROM lab JOIN inc USING (id)")
 def pipeline_end_to_end(spark, sf_dir):
-    """Labelled rows, with the measures of the whole in columns of their own."""
-    got = pipeline.cluster_rows(incidents(spark, sf_dir), LEGACY, map_size=6, iterations=300)
+    """Labelled rows: features, encoding, training, units, cells, pruned clusters."""
+    got = _analysis(spark, sf_dir, False)
+    pipeline.release(got)
+    return got["rows"].select("_row_id", "NATUREZA_APURADA", "CIDADE", "CLUSTER_SOM")
+
+
+@query(
+    f"""WITH RECURSIVE {_ANALYSIS}, q AS MATERIALIZED (SELECT id, c, d1, v AS x FROM lab JOIN rows USING (id) WHERE c <> 0),
+    p AS (SELECT a.id, a.c, b.c AS o, sum(list_distance(a.x, b.x)) AS t, count(*) AS n FROM q a CROSS JOIN q b GROUP BY 1, 2, 3),
+    s AS (SELECT id, max(CASE WHEN o = c AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN o <> c THEN t / n END) AS b FROM p GROUP BY 1),
+    f AS (SELECT id, c, generate_subscripts(x, 1) AS d, unnest(x) AS v FROM q), m AS MATERIALIZED (SELECT c, d, count(*) AS n, avg(v) AS mean, var_pop(v) AS var FROM f GROUP BY 1, 2),
+    g AS (SELECT d, avg(v) AS g FROM f GROUP BY 1), h AS (SELECT sum(n * (mean - g) ** 2) AS b, sum(n * var) AS w, count(DISTINCT c) AS k FROM m JOIN g USING (d)),
+    e AS (SELECT c, list(mean ORDER BY d) AS centre FROM m GROUP BY 1), sp AS (SELECT q.c, e.centre, avg(list_distance(q.x, e.centre)) AS s FROM q JOIN e USING (c) GROUP BY 1, 2),
+    bins AS (SELECT k, count(q.c) AS n FROM range((SELECT max(c) + 1 FROM q)) t(k) LEFT JOIN q ON q.c = k GROUP BY 1)
+    SELECT (SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 5) FROM s) AS silhouette,
+      (SELECT round((b / (k - 1)) / (w / ((SELECT count(*) FROM q) - k)), 4) FROM h) AS calinski_harabasz,
+      (SELECT round(avg(w), 5) FROM (SELECT a.c, max((a.s + b.s) / list_distance(a.centre, b.centre)) AS w FROM sp a JOIN sp b ON a.c <> b.c GROUP BY 1)) AS davies_bouldin,
+      (SELECT round(1 / (1 + stddev_pop(n) / avg(n)), 6) FROM bins) AS balance, (SELECT round(avg(a), 5) FROM (SELECT avg(d1) AS a FROM q GROUP BY c)) AS som_quality"""
+)
+def pipeline_metrics(spark, sf_dir):
+    """All measures of the whole analysis, the silhouette over all clustered rows."""
+    got = _analysis(spark, sf_dir, True)
     pipeline.release(got)
-    names = ("silhouette", "calinski_harabasz", "davies_bouldin", "balance", "som_quality")
-    return got["rows"].withColumns({n: F.lit(got["metrics"].get(n)).cast("double") for n in names})
+    places = {"silhouette": 5, "calinski_harabasz": 4, "davies_bouldin": 5, "balance": 6, "som_quality": 5}
+    return spark.createDataFrame([tuple(round(got["metrics"][n], k) if n in got["metrics"] else None for n, k in places.items())], ", ".join(f"{n} double" for n in places))
