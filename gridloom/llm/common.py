@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ASCII white space: what separates words everywhere in this subpackage.
 SPACE = " \t\n\x0b\x0c\r"
@@ -112,20 +113,52 @@ def fold_mod5(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def id_buckets(rows: DataFrame, column: str, buckets: int, name: str = "bucket", coarse: int = 256) -> DataFrame:
-    """`rows` with a bucket of consecutive ids of about equal row counts: quantile cuts, then even steps between two cuts.
+#: Buckets at most: their first keys are a literal of the plan (some 20 bytes each).
+MOST_BUCKETS = 1_000_000
 
-    The cuts are a literal of bounded size; ids are read alone to find them.
+
+class ByteBuckets:
+    """Runs of rows in the order of (d, tie) of about equal bytes: none passes `bucket_bytes` by more than its last row.
+
+    Keys and sizes alone are sorted by one range exchange; sums of what lies before a row give its bucket, and the first
+    key of each bucket reaches the driver. Rows that share one d are cut by tie; rows equal in both are one key.
     """
-    coarse = min(coarse, max(1, buckets))
-    fine = max(1, -(-buckets // coarse))
-    cuts = rows.agg(F.percentile_approx(column, [i / coarse for i in range(1, coarse)] or [0.5], 20 * coarse)).first()[0]
-    cuts = sorted(set(cuts or [])) if coarse > 1 else []
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.size(F.filter(edges, lambda c: c <= F.col(column)))
-    if fine == 1:
-        return rows.withColumn(name, place)
-    big = "decimal(20,0)"
-    lo, hi = F.get(edges, F.col(name) - 1), F.get(edges, F.col(name))
-    part = F.floor((F.col(column).cast(big) - lo.cast(big)) * fine / (hi.cast(big) - lo.cast(big) + 1)).cast("int")
-    return rows.withColumn(name, place).withColumn(name, F.col(name) * fine + F.coalesce(part, F.lit(0)))
+
+    def __init__(self, keys: DataFrame, bucket_bytes: int, least: int = 1):
+        """keys: d, tie, size, not null."""
+        total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        goal = max(1, min(bucket_bytes, -(-total // least)), -(-total // MOST_BUCKETS))
+        at = F.monotonically_increasing_id()
+        dealt = keys.repartitionByRange("d", "tie").sortWithinPartitions("d", "tie").select("d", "tie", "size", at.alias("at"))
+        dealt = materialize(dealt.withColumn("part", F.shiftright("at", 33)), "bucket-keys")
+        earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+        parts = dealt.groupBy("part").agg(F.sum("size").alias("bytes")).select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
+        inside = F.sum("size").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        below = dealt.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(parts), "part")
+        firsts = below.groupBy(F.floor((F.col("base") + F.col("inside")) / goal).alias("bucket")).agg(F.min(F.struct("d", "tie")).alias("first"))
+        self.firsts = sorted({(r["first"]["d"], r["first"]["tie"]) for r in firsts.select("first").collect()})
+
+    def __len__(self) -> int:
+        return max(1, len(self.firsts))
+
+    def _literal(self, place: int) -> Column:
+        return F.split(F.lit(",".join(str(f[place]) for f in self.firsts)), ",").cast("array<bigint>")  # folded once
+
+    def of(self, d: Column, tie: Column) -> Column:
+        """The bucket of a key: how many first keys are not above it, by halving."""
+        if len(self.firsts) < 2:
+            return F.lit(0)
+        ds, ties = self._literal(0), self._literal(1)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(self.firsts).bit_length()))])
+
+        def wider(n: Column, step: Column) -> Column:
+            a, b = F.get(ds, n + step - 1), F.get(ties, n + step - 1)
+            return F.when((a < d) | ((a == d) & (b <= tie)), n + step).otherwise(n)
+
+        return F.greatest(F.aggregate(steps, F.lit(0), wider) - 1, F.lit(0))
+
+    def is_first(self, bucket: Column, d: Column, tie: Column) -> Column:
+        """Whether a key is the first of its bucket."""
+        if not self.firsts:
+            return F.lit(False)
+        return (F.get(self._literal(0), bucket) == d) & (F.get(self._literal(1), bucket) == tie)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import BROADCAST_KEYS, id_buckets, let, words
+from gridloom.llm.common import ByteBuckets, let, words
 
 WORDS = 5
 #: Points on the ring: 2 ** POINT_BITS values in a signature.
@@ -102,29 +102,20 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document with the text and signature of the next by doc_id (`next_text`, `next_sig`); the last has the first.
 
-    Ids are cut into buckets of consecutive ids, about BUCKET_BYTES each whatever the corpus; a bucket also gets the first
-    document of the next one, so one shuffle by bucket is enough and no task holds more than a bucket. Rows that share
-    one doc_id, or have none, lie in one bucket.
+    Documents are cut into runs of consecutive ids of about BUCKET_BYTES, by exact sums of their bytes; a bucket also gets
+    the first document of the next one, so one shuffle by bucket is enough and no task holds more than a bucket. Rows
+    that share one doc_id, or have none, are cut by their texts' hashes.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("d"))
-    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0))).first()[0]
-    buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
-    keyed = id_buckets(rows, "d", buckets)
-    firsts = keyed.select("bucket", "d").groupBy("bucket").agg(F.min("d").alias("first_d"))
-    order = Window.orderBy("bucket")
-    ring = firsts.select(
-        F.col("bucket").alias("r_bucket"),
-        "first_d",
-        F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"),
-    )
-    ring = F.broadcast(ring) if buckets <= BROADCAST_KEYS else ring
-    own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("before").alias("b"), F.lit(1).alias("guest"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    buckets = ByteBuckets(rows.select("d", "tie", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size")), BUCKET_BYTES, LEAST_BUCKETS)
+    keyed = rows.withColumn("own", buckets.of(F.col("d"), F.col("tie")))
+    own = F.struct(F.col("own").alias("b"), F.lit(0).alias("guest"))
+    guest = F.struct(F.pmod(F.col("own") - 1, F.lit(len(buckets))).alias("b"), F.lit(1).alias("guest"))
     sent = (
         keyed.withColumn("sig", signature(F.col("text")))
-        .join(ring, F.col("bucket") == F.col("r_bucket"))
-        .withColumn("to", F.explode(F.when(F.col("d") == F.col("first_d"), F.array(own, guest)).otherwise(F.array(own))))
-        .select("doc_id", "d", "text", "sig", F.col("to.b").alias("b"), F.col("to.guest").alias("guest"), F.xxhash64("text").alias("tie"))
+        .withColumn("to", F.explode(F.when(buckets.is_first(F.col("own"), F.col("d"), F.col("tie")), F.array(own, guest)).otherwise(F.array(own))))
+        .select("doc_id", "d", "tie", "text", "sig", F.col("to.b").alias("b"), F.col("to.guest").alias("guest"))
     )
     w = Window.partitionBy("b").orderBy("guest", "d", "tie")
     return (
