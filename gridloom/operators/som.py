@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.config import CANONICAL, FALLBACK, FALLBACK_ROWS, SEED, SIZE_PRESETS, Profile
 from gridloom.functions.sampling import exact_rows, seeded_hash
@@ -374,7 +375,8 @@ def train_batch(df: DataFrame, params: dict, epochs: int = 20, seed: int = SEED,
     Given a path, the codebook is saved after each epoch, and a run that finds epochs there goes on after the last whole one.
     """
     spark = df.sparkSession
-    size = len(df.select("features").first()[0]) if not df.isEmpty() else 0
+    one = df.select("features").first()
+    size = 0 if one is None else one[0]["size"] if isinstance(df.schema["features"].dataType, T.StructType) else len(one[0])
     model, first = SomModel(initial_weights(params["som_x"], params["som_y"], size, seed), params | {"seed": seed, "method": "batch"}), 0
     place = lambda e: f"{path}/epoch-{e:05d}"
     if path:

@@ -11,6 +11,7 @@ from gridloom.functions import quantiles
 from gridloom.functions.sampling import seeded_hash
 from gridloom.operators import clusters, encode, lattice, metrics, profile, som, tune
 from gridloom.plans import pipeline
+from gridloom.sources import writers
 
 
 def vectors(spark, n=60, d=4, seed=0):
@@ -249,3 +250,15 @@ def test_distinct_counts_of_many_columns(spark, monkeypatch):
     plan = profile.distinct_counts(df, ["id", "text"])._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
     assert {r["distinct_values"] for r in profile.distinct_counts(df.limit(0), ["id", "text"]).collect()} == {0}
+
+
+def test_command_line_options(spark, tmp_path):
+    """Batch epochs on sparse rows; the silhouette of a sample says so."""
+    lines = ["SEXO_PESSOA;IDADE_PESSOA;CIDADE"] + [f"{'MF'[i % 2]};{20 + i % 3 * 25};{'ABC'[i % 3]}" for i in range(240)]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    asked = ["--sample_frac", "1.0", "--map_size", "4", "--iterations", "100", "--profile", "legacy", "--method", "batch", "--sparse", "--silhouette_rows", "50"]
+    pipeline.main(["--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "out"), *asked])
+    rows = spark.read.parquet(str(tmp_path / "out/clustered"))
+    assert rows.count() == 240 and spark.read.parquet(str(tmp_path / "out/matrix")).count() == 240
+    measures = writers.read_json(spark, str(tmp_path / "out/metrics"))
+    assert measures["silhouette_sample"] == 50 and rows.where(f"{clusters.LABEL} <> 0").count() > 50
