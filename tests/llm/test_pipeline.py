@@ -57,3 +57,23 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark, sf_dir):
     assert found - near_pairs(rows, 4, 85)
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), sf_dir).collect()}
     assert kept == {d for d, _ in rows} - {a for a, _ in found}
+
+
+def test_chain_on_odd_rows(spark, sf_dir, odd, none, tmp_path):
+    """All stages one after another, each on what the one before wrote: nulls, copies, long texts, clashing names; an empty table."""
+    for name, start in (("odd", odd), ("none", none)):
+        df = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, df, sf_dir).write.parquet(f"{tmp_path}/{name}-{k}")
+            after = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert after.columns == start.columns
+                assert {(r["doc_id"], r["text"]) for r in after.collect()} <= {(r["doc_id"], r["text"]) for r in df.collect()}
+            df = after
+        kept = spark.read.parquet(f"{tmp_path}/{name}-{len(corpus_pipeline.STAGES) - 2}")
+        assert df.count() == kept.count() and sorted(r["doc_id"] or 0 for r in df.collect()) == sorted(r["doc_id"] or 0 for r in kept.collect())
+        if name == "odd":
+            texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/odd-1").where("doc_id IS NOT NULL").collect() if r["text"] and len(r["text"].split()) > 20]
+            assert len(texts) == len(set(texts)) > 3
+        else:
+            assert df.count() == 0
