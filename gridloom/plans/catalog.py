@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,17 +62,34 @@ def source_delimited(spark, sf_dir):
     quoted = F.concat(F.lit('"São ""'), "c_mktsegment", F.lit('""; x"'))
     note = F.expr("c_custkey % 4")
     note = F.when(note == 0, quoted).when(note == 1, F.lit('"two\nlines"')).when(note == 2, F.col("c_name")).otherwise(F.lit(""))
-    path = _place(spark, "delimited")
-    lines = rows.select(F.concat_ws(";", F.col("c_custkey").cast("string"), note, F.col("c_acctbal").cast("string")).alias("value"))
-    head = spark.createDataFrame([("c_custkey;note;c_acctbal",)], "value string")
-    head.unionByName(lines).coalesce(1).write.text(path)
+    lines = rows.select(F.col("c_custkey").alias("k"), F.concat_ws(";", F.col("c_custkey").cast("string"), note, F.col("c_acctbal").cast("string")).alias("value"))
+    path = _lines(spark, lines, "c_custkey;note;c_acctbal")
     return readers.load(spark, path).select("c_custkey", "note", "c_acctbal")
 
 
 def _delimited(spark: SparkSession, rows: DataFrame, key: str, encoding: str = "UTF-8") -> str:
-    """A file of the rows in the order of a key, with its header."""
+    """Files that together hold the rows in the order of a key, each with its header: a task sorts one range of keys."""
+    path = _place(spark, "delimited")
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.options(sep=";", header=True, encoding=encoding, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").csv(path)
+    return path
+
+
+def _lines(spark: SparkSession, lines: DataFrame, header: str) -> str:
+    """The same of (k, value), values as they are."""
     path = _place(spark, "delimited")
-    rows.repartition(1).sortWithinPartitions(key).write.options(sep=";", header=True, encoding=encoding, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").csv(path)
+
+    def headed(batches):
+        told = TaskContext.get().partitionId() == 0  # whose first row is the header, also of an empty table
+        one = lambda values: pa.RecordBatch.from_arrays([values], ["value"])
+        for b in batches:
+            if b.num_rows and not told:
+                told = True
+                yield one(pa.array([header]))
+            yield one(b.column(0))
+
+    head = spark.createDataFrame([(None, header)], "k long, value string")
+    lines = head.unionByName(lines)
+    lines.repartitionByRange("k").sortWithinPartitions("k").select("value").mapInArrow(headed, "value string").write.text(path)
     return path
 
 
@@ -108,9 +127,7 @@ def source_quotes(spark, sf_dir):
     way = F.col("p_partkey") % 5
     note = F.when(way == 0, 'in 5" steps').when(way == 1, '"a ""quoted""; word\n\nand """""').when(way == 2, '"\n;\n"').when(way == 3, '""').otherwise(F.col("p_name"))
     lines = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(";", F.col("p_partkey").cast("string"), note, F.col("p_size").cast("string")).alias("value"))
-    head = spark.createDataFrame([(-1, "p_partkey;note;p_size")], "k long, value string")
-    path = _place(spark, "quotes")
-    head.unionByName(lines).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    path = _lines(spark, lines, "p_partkey;note;p_size")
     return readers.load(spark, path).select("p_partkey", "note", F.col("p_size").cast("int").alias("p_size"), "_row_id")
 
 
