@@ -58,17 +58,17 @@ _Q, _K, _V, _LATEST, _EARLIER = (slice(a, z) for a, z in ((0, WIDTH), (WIDTH, 2
 COLUMNS = 3 * WIDTH + 2 * HIDDEN
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts laid end to end: each window's first place, its text's end, and the places before which it only reads.
 
-    Windows advance by WINDOW - CONTEXT, so every place is scored in exactly one window, with context before it.
+    Windows advance by WINDOW - context, so every place is scored in exactly one window, with context before it.
     """
-    stride = WINDOW - CONTEXT
-    count = np.maximum(1, -(-(lengths - CONTEXT) // stride))
+    stride = WINDOW - context
+    count = np.maximum(1, -(-(lengths - context) // stride))
     begin = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(lengths)), count)
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return begin[text] + nth * stride, (begin + lengths)[text], np.where(nth == 0, 0, CONTEXT)
+    return begin[text] + nth * stride, (begin + lengths)[text], np.where(nth == 0, 0, context)
 
 
 def inputs_of(m: Model, targets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,8 +218,11 @@ def gradients(m: Model, rows: np.ndarray, earlier: np.ndarray, goal: np.ndarray)
     b, t = rows.shape
     x = m.table[rows]
     q, k, v = x[:, :, _Q] + m.place_q[:t], x[:, :, _K] + m.place_k[:t], x[:, :, _V]
-    raw = np.exp(np.clip(q @ k.transpose(0, 2, 1), -30, 30)) * _TRIANGLE[:t, :t]
-    a = raw / raw.sum(axis=2, keepdims=True)
+    a = q @ k.transpose(0, 2, 1)
+    np.clip(a, -30, 30, out=a)
+    np.exp(a, out=a)
+    a *= _TRIANGLE[:t, :t]
+    a /= a.sum(axis=2, keepdims=True)
     c = (a @ v).reshape(-1, WIDTH)
     u = np.maximum(c @ m.w1 + m.b1 + x[:, :, _LATEST].reshape(-1, HIDDEN) + m.table[earlier.ravel(), _EARLIER], 0)
     used = np.flatnonzero(goal.ravel() >= 0)
@@ -227,7 +230,7 @@ def gradients(m: Model, rows: np.ndarray, earlier: np.ndarray, goal: np.ndarray)
     group, scale, g = m.group[ids], 1 / len(used), {}
     z = u[used] @ m.w2 + m.b2
     z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
+    p = np.exp(z, out=z)
     p /= p.sum(axis=1, keepdims=True)
     loss = -np.log(p[np.arange(len(used)), group] + 1e-12).sum()
     p[np.arange(len(used)), group] -= 1
@@ -236,7 +239,7 @@ def gradients(m: Model, rows: np.ndarray, earlier: np.ndarray, goal: np.ndarray)
     du = np.zeros_like(u)
     du[used] = p @ m.w2.T
     g["w3"], g["b3"] = np.zeros_like(m.w3), np.zeros_like(m.b3)
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint8), kind="stable")  # small numbers are sorted by counting
     cut = np.searchsorted(group[order], np.arange(SINGLES, CLASSES))
     for j, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         if lo < hi:
@@ -244,7 +247,7 @@ def gradients(m: Model, rows: np.ndarray, earlier: np.ndarray, goal: np.ndarray)
             mine, own = m.slot[ids[at]], u[used[at]]
             y = own @ m.w3[j] + m.b3[j]
             y -= y.max(axis=1, keepdims=True)
-            p = np.exp(y)
+            p = np.exp(y, out=y)
             p /= p.sum(axis=1, keepdims=True)
             loss -= np.log(p[np.arange(len(at)), mine] + 1e-12).sum()
             p[np.arange(len(at)), mine] -= 1
@@ -255,14 +258,15 @@ def gradients(m: Model, rows: np.ndarray, earlier: np.ndarray, goal: np.ndarray)
     g["w1"], g["b1"] = c.T @ du, du.sum(axis=0)
     dc = (du @ m.w1.T).reshape(b, t, WIDTH)
     da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = da - np.einsum("btu,btu->bt", da, a)[:, :, None]
+    ds *= a
     dx = np.empty((b, t, COLUMNS - HIDDEN), x.dtype)
     dx[:, :, _Q], dx[:, :, _K], dx[:, :, _V], dx[:, :, _LATEST] = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc, du.reshape(b, t, HIDDEN)
     g["place_q"], g["place_k"] = np.zeros_like(m.place_q), np.zeros_like(m.place_k)
     g["place_q"][:t], g["place_k"][:t] = dx[:, :, _Q].sum(axis=0), dx[:, :, _K].sum(axis=0)
     g["table"] = np.zeros_like(m.table)
     for where, d, columns in ((rows, dx.reshape(-1, dx.shape[2]), slice(0, COLUMNS - HIDDEN)), (earlier, du, _EARLIER)):
-        order = np.argsort(where.ravel(), kind="stable")
+        order = np.argsort(where.ravel().astype(np.int16), kind="stable")
         r = where.ravel()[order]
         new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
         g["table"][r[new], columns] = np.add.reduceat(d[order], new)
@@ -272,7 +276,7 @@ def gradients(m: Model, rows: np.ndarray, earlier: np.ndarray, goal: np.ndarray)
 def train(m: Model, texts: list[np.ndarray], done: float = 0.0, part: float = 1.0, batch: int = 128, rate: float = 0.012, least: int = 150, seed: int = 3) -> list[float]:
     """Adam over all windows of the texts (each closed by its end id) in random order; changes `m`, returns losses.
 
-    Windows are passed over once, or as often as `least` steps need. `done`, `part`: which part of the whole training
+    Windows lie side by side, so each place of each text is learnt once, or as often as `least` steps need. `done`, `part`: which part of the whole training
     this is; steps become smaller towards its end.
     """
     texts = [t for t in texts if len(t)]
@@ -281,7 +285,7 @@ def train(m: Model, texts: list[np.ndarray], done: float = 0.0, part: float = 1.
     rng = np.random.default_rng(seed)
     lengths, targets = np.array([len(t) for t in texts]), np.concatenate(texts)
     latest, earlier = inputs_of(m, targets, lengths)
-    first, end, _ = windows(lengths)
+    first, end, _ = windows(lengths, 0)
     once = -(-len(first) // batch)
     order = np.concatenate([rng.permutation(len(first)) for _ in range(-(-least // once))])
     state = {n: (np.zeros_like(getattr(m, n)), np.zeros_like(getattr(m, n))) for n in Model.NAMES}
@@ -296,7 +300,16 @@ def train(m: Model, texts: list[np.ndarray], done: float = 0.0, part: float = 1.
         pace = rate * min(1, (s + 1) / 20) * (1 - 0.95 * (done + part * s / steps))
         for n, d in g.items():
             one, two = state[n]
-            one += 0.1 * (d - one)
-            two += 0.01 * (d * d - two)
-            getattr(m, n)[...] -= pace * (one / (1 - 0.9 ** (s + 1))) / (np.sqrt(two / (1 - 0.99 ** (s + 1))) + 1e-7)
+            one *= 0.9
+            one += 0.1 * d
+            two *= 0.99
+            np.multiply(d, d, out=d)
+            d *= 0.01
+            two += d
+            np.sqrt(two, out=d)
+            d *= (1 - 0.99 ** (s + 1)) ** -0.5
+            d += 1e-7
+            np.divide(one, d, out=d)
+            d *= pace / (1 - 0.9 ** (s + 1))
+            getattr(m, n)[...] -= d
     return losses

@@ -6,9 +6,10 @@ share of each is the one of highest likelihood on training texts that the weight
 model carries the score as far as it predicts better, whatever the size of the corpus.
 
 Weights are fitted in rounds: in each, tasks take groups of training texts not used before, follow the gradient over all
-their windows from the current weights on, and Spark averages what they found. The texts are a fixed part of the training
-texts (SHARE; all of a small corpus), so groups, and with them the steps, grow with the corpus; a group is of fixed size,
-and only sums of weights leave the executors. Words and subword ids are counted over all training texts.
+their windows from the current weights on, and Spark averages what they found. Every training text is fitted on: one chunk in
+TUNE_EVERY is kept until the share is set by it, and then fitted on in a round of its own. Groups, and with them the steps,
+grow with the corpus; a group is of fixed size, and only sums of weights leave the executors. Words and subword ids are
+counted over all training texts.
 The model has vectors of its own for the most frequent ids (`attention.OWN_IDS`); all others share one and are told
 apart by their counts.
 
@@ -38,11 +39,9 @@ from gridloom.llm.common import ByteBuckets, fold_mod5, materialize, small_batch
 from gridloom.llm.op3_tokens import bounds_of, encoder, split, text_slices, tokenizer_path
 
 HELD_OUT = 1
-#: Part of the training texts that weights are fitted on, and documents at least: 2,000 texts or fewer are learnt whole.
-SHARE, LEAST_DOCS = 1 / 4, 2000
 #: Rounds of fitting, and bytes of text that a group fits on in all rounds together.
 ROUNDS, GROUP_BYTES = 4, 12 << 20
-#: One chunk in so many is kept out of the weight fit: its training texts set the share of the attention model.
+#: One chunk in so many is kept for the last round of the fit: before it its training texts set the share of the attention model.
 TUNE_EVERY, TUNE = 32, 5
 #: Candidates for that share.
 SHARES = 1 / (1 + np.exp(-np.linspace(-6, 6, 41)))
@@ -160,52 +159,63 @@ def added(arrays: DataFrame, n: int) -> np.ndarray:
     return sum((np.frombuffer(r["body"]) for r in arrays.select("body").toLocalIterator()), np.zeros(1))
 
 
-def fit(rows: DataFrame, n_bytes: int, n_train: int, id_counts: np.ndarray, path: str, share: float = SHARE) -> attention.Model:
-    """Weights of the attention model. rows: doc_id, text, chunk, train."""
-    share = min(1.0, max(share, LEAST_DOCS / max(n_train, 1)))
-    groups = max(1, -(-int(n_bytes * 0.8 * share) // GROUP_BYTES))
-    chosen = F.col("train") & (F.col("chunk") % TUNE_EVERY != TUNE) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) < int((1 << 40) * share))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(groups * ROUNDS)).cast("int")
+class Fit:
+    """The attention model and its fitting. rows: doc_id, text, chunk, train; all that are to be learnt from take part in one round."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, texts in text_slices(b["text"]):
-                found = encoder(path, 2).batch(texts)
-                raw, cut = found.flat().tobytes(), (2 * found.text_bounds()).tolist()
-                ids = pa.array([raw[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["part"].slice(at, len(texts)), ids], ["part", "ids"])
+    def __init__(self, rows: DataFrame, n_bytes: int, n_train: int, id_counts: np.ndarray, path: str):
+        self.groups = max(1, -(-int(n_bytes * 0.8) // GROUP_BYTES))
+        self.last = max(1, -(-self.groups * ROUNDS // TUNE_EVERY))
+        kept = F.col("chunk") % TUNE_EVERY == TUNE
+        h = F.xxhash64("doc_id", F.lit(29))
+        part = F.when(kept, F.pmod(h, F.lit(self.last)) + self.groups * ROUNDS).otherwise(F.pmod(h, F.lit(self.groups * ROUNDS))).cast("int")
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, texts in text_slices(b["text"]):
+                    found = encoder(path, 2).batch(texts)
+                    raw, cut = found.flat().tobytes(), (2 * found.text_bounds()).tolist()
+                    ids = pa.array([raw[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([b["part"].slice(at, len(texts)), ids], ["part", "ids"])
+
+        self.texts = materialize(rows.where("train").select(part.alias("part"), "text").mapInArrow(tokens, "part int, ids binary"), "lm-texts")
+        counts = np.append(id_counts, n_train).astype(float)
+        own, n = attention.own_ids(counts), self.groups * ROUNDS + self.last
+
+        def company(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": [int(pdf["part"].iloc[0])], "body": [attention.neighbours(_ids(pdf), own, counts).tobytes()]})
 
-    sample = materialize(rows.where(chosen).select(part.alias("part"), "text").mapInArrow(tokens, "part int, ids binary"), "lm-sample")
-    counts = np.append(id_counts, n_train).astype(float)
-    own = attention.own_ids(counts)
-    texts = lambda pdf: [np.append(np.frombuffer(t, "<u2").astype(np.int64), END) for t in sorted(pdf["ids"])]
+        around = added(_spread(self.texts, n).applyInPandas(company, "k long, body binary"), n)
+        self.model = attention.start(counts, around.reshape(-1, 2 * attention.SKETCH) if len(around) > 1 else np.zeros((len(own), 2 * attention.SKETCH)))
+        for r in range(ROUNDS):
+            self.round(self.texts.where((F.col("part") < self.groups * ROUNDS) & (F.col("part") % ROUNDS == r)), self.groups, r / ROUNDS, 1 / ROUNDS, 150)
 
-    def company(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [int(pdf["part"].iloc[0])], "body": [attention.neighbours(texts(pdf), own, counts).tobytes()]})
+    def kept(self) -> None:
+        """The round over the texts that were kept: each of them once, by steps as small as the last ones."""
+        self.round(self.texts.where(F.col("part") >= self.groups * ROUNDS), self.last, 1.0, 0.0, 1)
 
-    # As many partitions as tasks are wanted, which are not put together again for being small: a group is work, not bytes.
-    spread = lambda of, n: of.repartition(2 * n, "part").groupBy("part")
-    around = added(spread(sample, groups * ROUNDS).applyInPandas(company, "k long, body binary"), groups * ROUNDS)
-    model = attention.start(counts, around.reshape(-1, 2 * attention.SKETCH) if len(around) > 1 else np.zeros((len(own), 2 * attention.SKETCH)))
+    def round(self, texts: DataFrame, groups: int, done: float, share: float, least: int) -> None:
+        sent, first = texts.sparkSession.sparkContext.broadcast(self.model), self.groups * ROUNDS
 
-    def learner(sent, r: int):
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            own, m, k = texts(pdf), sent.value, int(pdf["part"].iloc[0])
+            own, m, k = _ids(pdf), sent.value, int(pdf["part"].iloc[0])
             m = m.with_weights(m.weights())
-            attention.train(m, own, r / ROUNDS, 1 / ROUNDS, seed=k)
+            attention.train(m, own, done, share, least=least, seed=k)
             n = sum(map(len, own))
             textkernel.release(keep=True)
-            return pd.DataFrame({"k": [k // ROUNDS], "body": [np.append(m.weights().astype(float) * n, n).tobytes()]})
+            return pd.DataFrame({"k": [k // ROUNDS if k < first else k - first], "body": [np.append(m.weights().astype(float) * n, n).tobytes()]})
 
-        return learn
-
-    for r in range(ROUNDS):
-        sent = rows.sparkSession.sparkContext.broadcast(model)
-        found = spread(sample.where(F.col("part") % ROUNDS == r), groups).applyInPandas(learner(sent, r), "k long, body binary")
-        total = added(found, groups)
+        total = added(_spread(texts, groups).applyInPandas(learn, "k long, body binary"), groups)
         if total[-1]:
-            model = model.with_weights(total[:-1] / total[-1])
-    return model
+            self.model = self.model.with_weights(total[:-1] / total[-1])
+
+
+def _ids(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.append(np.frombuffer(t, "<u2").astype(np.int64), END) for t in sorted(pdf["ids"])]
+
+
+def _spread(texts: DataFrame, n: int):
+    """As many partitions as tasks are wanted, which are not put together again for being small: a group is work, not bytes."""
+    return texts.repartition(2 * n, "part").groupBy("part")
 
 
 class Scorer:
@@ -269,7 +279,7 @@ def _known(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tuned(rows: DataFrame, asked: DataFrame, scorer: Scorer) -> float:
-    """The share of highest likelihood on the training texts of the chunks that weights were not fitted on."""
+    """The share of highest likelihood on the training texts of the chunks that weights were not fitted on yet."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(scorer)
 
@@ -287,7 +297,7 @@ def tuned(rows: DataFrame, asked: DataFrame, scorer: Scorer) -> float:
     return float(SHARES[max(values, key=values.get)]) if any(values.values()) else 0.5
 
 
-def score(docs: DataFrame, path: str | None = None, fit_share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, model_share of every document."""
     path = path or tokenizer_path()
     spark = docs.sparkSession
@@ -306,9 +316,12 @@ def score(docs: DataFrame, path: str | None = None, fit_share: float = SHARE) ->
         at, n = _unpack(r["body"])
         id_counts[at.astype(np.int64)] += n
     total += n_train
-    scorer = Scorer(total, kinds + (n_train > 0), n_train, fit(rows, n_bytes, n_train, id_counts, path, fit_share), path)
+    fit = Fit(rows, n_bytes, n_train, id_counts, path)
+    scorer = Scorer(total, kinds + (n_train > 0), n_train, fit.model, path)
     asked = got.where(F.col("chunk") >= 0).select(F.col("chunk").alias("of"), "body")
     scorer.share = tuned(rows, asked, scorer)
+    fit.kept()
+    scorer.model = fit.model
     sent = spark.sparkContext.broadcast(scorer)
 
     def scored(own: pa.Table, counts: pa.Table) -> pa.Table:
