@@ -8,8 +8,8 @@ model carries the score as far as it predicts better, whatever the size of the c
 Weights are fitted in rounds: in each, tasks take groups of training texts not used before, follow the gradient over all
 their windows from the current weights on, and Spark averages what they found. Every training text is fitted on: one chunk in
 TUNE_EVERY is kept until the share is set by it, and then fitted on in a round of its own. Groups, and with them the steps,
-grow with the corpus; a group is of fixed size, and only sums of weights leave the executors. Words and subword ids are
-counted over all training texts.
+grow with the corpus; a group is of fixed size, and only sums of weights leave the executors. Words, subword ids and pairs of
+neighbouring ids are counted over all training texts, ids and pairs where the tokenized texts lie, without a shuffle.
 The model has vectors of its own for the most frequent ids (`attention.OWN_IDS`); all others share one and are told
 apart by their counts.
 
@@ -25,12 +25,13 @@ whole. Empty table: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +76,18 @@ def lower_hashes(words: pa.Array) -> np.ndarray:
     return textkernel.word_hashes(*textkernel.buffers(words), lower=True)[0]
 
 
-#: Chunk numbers of rows that are no answers: a bucket's totals, and counts of subword ids.
-TOTALS, IDS = -1, -2
+#: Chunk number of rows that are no answers: a bucket's totals.
+TOTALS = -1
 
 
-def answers(rows: DataFrame, buckets: int, path: str) -> DataFrame:
+def answers(rows: DataFrame, buckets: int) -> DataFrame:
     """(chunk, body, total, kinds): for each chunk the training counts of all its words, from all buckets.
 
-    Also TOTALS rows (tokens and distinct words of a bucket) and IDS rows (counts of subword ids). rows: text, chunk, train.
+    Also TOTALS rows (tokens and distinct words of a bucket). rows: text, chunk, train.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size, ids, task = encoder(path, 2), [], 0, np.zeros(SUBWORDS, np.int64), 0
+        held, size = [], 0
 
         def asked() -> pa.RecordBatch:
             h, c, t = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -112,20 +113,12 @@ def answers(rows: DataFrame, buckets: int, path: str) -> DataFrame:
                 key, times = np.unique(np.repeat(place, n) * len(distinct) + code, return_inverse=True)
                 times = np.bincount(times, learnt, len(key)).astype(np.int64)
                 held.append((lower_hashes(distinct)[key % len(distinct)], own[key // len(distinct)], times))
-                count = np.bincount(code[learnt], minlength=len(distinct))
-                at = np.flatnonzero(count)
-                found, bounds = words.distinct_ids(distinct.take(pa.array(at)))
-                ids += np.bincount(found, np.repeat(count[at], np.diff(bounds)), SUBWORDS).astype(np.int64)
                 size += texts.nbytes
                 if size >= GATHER_BYTES:
                     yield asked()
                     held, size = [], 0
-            task = int(chunk[0]) if len(chunk) else task
         if held:
             yield asked()
-        if ids.any():
-            at = np.flatnonzero(ids)
-            yield _rows([buckets + task % 64], [IDS], [_pack(at, ids[at])])
         textkernel.release(keep=True)
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,8 +126,6 @@ def answers(rows: DataFrame, buckets: int, path: str) -> DataFrame:
         h = np.concatenate([p[0] for p in parts])
         known, at = np.unique(h, return_inverse=True)
         total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(known)).astype(np.int64)
-        if pdf["bucket"].iloc[0] >= buckets:
-            return pd.DataFrame({"chunk": [IDS], "body": [_pack(known, total)], "total": [0], "kinds": [0]})
         out, place = [(TOTALS, b"", int(total.sum()), int((total > 0).sum()))], 0
         for chunk, (own, _) in zip(pdf["chunk"], parts, strict=True):
             out.append((int(chunk), _pack(own, total[at[place : place + len(own)]]), 0, 0))
@@ -162,7 +153,8 @@ def added(arrays: DataFrame, n: int) -> np.ndarray:
 class Fit:
     """The attention model and its fitting. rows: doc_id, text, chunk, train; all that are to be learnt from take part in one round."""
 
-    def __init__(self, rows: DataFrame, n_bytes: int, n_train: int, id_counts: np.ndarray, path: str):
+    def __init__(self, rows: DataFrame, n_bytes: int, n_train: int, id_counts: np.ndarray | None, path: str):
+        """id_counts: of the subword ids in all that are to be learnt from; None: they are counted."""
         self.groups = max(1, -(-int(n_bytes * 0.8) // GROUP_BYTES))
         self.last = max(1, -(-self.groups * ROUNDS // TUNE_EVERY))
         kept = F.col("chunk") % TUNE_EVERY == TUNE
@@ -178,17 +170,36 @@ class Fit:
                     yield pa.RecordBatch.from_arrays([b["part"].slice(at, len(texts)), ids], ["part", "ids"])
 
         self.texts = materialize(rows.where("train").select(part.alias("part"), "text").mapInArrow(tokens, "part int, ids binary"), "lm-texts")
+        if id_counts is None:
+            id_counts = self.summed(np.zeros(SUBWORDS, np.int64), lambda ids, _: np.bincount(ids, minlength=SUBWORDS))
         counts = np.append(id_counts, n_train).astype(float)
-        own, n = attention.own_ids(counts), self.groups * ROUNDS + self.last
+        own = attention.own_ids(counts)
 
-        def company(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"k": [int(pdf["part"].iloc[0])], "body": [attention.neighbours(_ids(pdf), own, counts).tobytes()]})
+        def company(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            return attention.pairs(np.insert(ids.astype(np.int64), np.cumsum(lengths), END), lengths + 1, own, len(counts))
 
-        around = added(_spread(self.texts, n).applyInPandas(company, "k long, body binary"), n)
-        self.model = attention.start(counts, around.reshape(-1, 2 * attention.SKETCH) if len(around) > 1 else np.zeros((len(own), 2 * attention.SKETCH)))
+        around = self.summed(np.zeros((len(own), 2 * attention.SKETCH)), company, lambda total: attention.projected(total, own, counts))
+        self.model = attention.start(counts, around)
         for r in range(ROUNDS):
             self.round(self.texts.where((F.col("part") < self.groups * ROUNDS) & (F.col("part") % ROUNDS == r)), self.groups, r / ROUNDS, 1 / ROUNDS, 150)
 
+    def summed(self, none: np.ndarray, of: Callable, last: Callable = lambda total: total) -> np.ndarray:
+        """Sum of last(sum of of(ids, lengths of texts) in a task) over all tasks, which take the texts where they lie."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for b in batches:
+                data, bounds = textkernel.buffers(b["ids"])
+                if len(bounds) > 1:
+                    total = total + of(data.view("<u2"), np.diff(bounds) // 2)
+            if np.ndim(total):
+                body = last(total).astype(float).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([body], pa.binary())], ["k", "body"])
+
+        ids = self.texts.select("ids")
+        found = added(ids.mapInArrow(task, "k long, body binary"), ids.rdd.getNumPartitions())
+        return found.reshape(none.shape) if len(found) == none.size > 1 else none
+
     def kept(self) -> None:
         """The round over the texts that were kept: each of them once, by steps as small as the last ones."""
         self.round(self.texts.where(F.col("part") >= self.groups * ROUNDS), self.last, 1.0, 0.0, 1)
@@ -309,14 +320,10 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     tie = F.xxhash64("text")
     cut = ByteBuckets(rows.select("d", tie.alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), CHUNK_BYTES, LEAST_CHUNKS)
     rows = rows.withColumn("chunk", cut.of(F.col("d"), tie)).drop("d")
-    got = materialize(answers(rows, max(LEAST_CHUNKS, -(-n_bytes // CHUNK_BYTES)), path), "word-counts")
+    got = materialize(answers(rows, max(LEAST_CHUNKS, -(-n_bytes // CHUNK_BYTES))), "word-counts")
     total, kinds = got.where(F.col("chunk") == TOTALS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    id_counts = np.zeros(SUBWORDS, np.int64)
-    for r in got.where(F.col("chunk") == IDS).select("body").collect():  # at most 64 rows
-        at, n = _unpack(r["body"])
-        id_counts[at.astype(np.int64)] += n
     total += n_train
-    fit = Fit(rows, n_bytes, n_train, id_counts, path)
+    fit = Fit(rows, n_bytes, n_train, None, path)
     scorer = Scorer(total, kinds + (n_train > 0), n_train, fit.model, path)
     asked = got.where(F.col("chunk") >= 0).select(F.col("chunk").alias("of"), "body")
     scorer.share = tuned(rows, asked, scorer)
