@@ -115,7 +115,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Tokenizer(Tokenizer.from_file(path).model)  # the same merges, without normalization
+        self.pieces = Tokenizer(self.tokenizer.model)  # the same merges in the same place, without normalization
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         if hasattr(self.pieces.model, "_resize_cache"):
             self.pieces.model._resize_cache(0)  # what is asked was just found to be new
@@ -237,7 +237,7 @@ textkernel.MEMORIES.append(_ENCODERS.clear)
 
 
 def encoder(path: str, width: int) -> WordEncoder:
-    """The process's encoder: a worker keeps its memory of words from task to task."""
+    """The process's encoder, kept until `textkernel.release`."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     if (path, width) not in _ENCODERS:
         _ENCODERS[path, width] = WordEncoder(path, width)
@@ -290,7 +290,8 @@ def segments(docs: DataFrame, path: str | None = None, end_id: int = END_ID, wid
                     held += len(bodies[-1]) // width
         if ids:
             yield close(ids, bodies, seq)
-        textkernel.release(keep=True)
+        del words
+        textkernel.release()  # a worker waits for its next task without what it learnt
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return rows_in.mapInArrow(rows, SCHEMA)
